@@ -43,11 +43,11 @@ def title(path: Column, body: Column) -> Column:
 
 
 def headings(body: Column) -> Column:
-    return F.transform(_all(body, HEADING_2_3, 1), F.trim)
+    return F.transform(_all(body, HEADING_2_3, 1), lambda h: F.trim(h))
 
 
 def wikilinks(body: Column) -> Column:
-    return F.array_distinct(F.transform(_all(body, WIKILINK, 1), F.trim))
+    return F.array_distinct(F.transform(_all(body, WIKILINK, 1), lambda t: F.trim(t)))
 
 
 def inline_tags(body: Column) -> Column:

@@ -25,6 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table with long texts, dealt over the cores when its file has few splits.
+
+    A table with at least as many splits as cores, as any large one, is read as
+    it lies.
+    """
+    rows = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+
+
 def guid(*parts) -> Column:
     """A GUID-shaped text from a hash of the parts."""
     h = F.md5(F.concat_ws("-", *[p if isinstance(p, Column) else F.lit(p) for p in parts]))
@@ -362,7 +373,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> NoteTables:
 def document_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as notes: first line as title, language and source as tags."""
     tune(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs = text_table(spark, sf_dir, "documents", "doc_id")
     labels = table(spark, sf_dir, "labels").select(
         "doc_id",
         F.to_json(F.struct("quality", "toxic")).alias("_fm"),
@@ -433,7 +444,7 @@ def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with their ``<h1>`` title and link targets."""
     tune(spark)
     html = F.col("html")
-    return table(spark, sf_dir, "pages").select(
+    return text_table(spark, sf_dir, "pages", "page_id").select(
         "page_id",
         F.trim(md.found(html, r"(?s)<h1>(.*?)</h1>")).alias("title"),
         F.array_distinct(F.regexp_extract_all(html, F.lit('<a href="([^"]*)"'), F.lit(1))).alias("hrefs"),
