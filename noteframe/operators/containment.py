@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteframe.operators.skew import spread_join
-
 INLINE_PATTERNS = 32  # up to here patterns become literals of one narrow scan
 GRAM = 3
 
@@ -84,9 +82,9 @@ def anchored_pairs(texts: DataFrame, patterns: DataFrame) -> DataFrame:
         .where(F.col("n") > 0)
         .select("pattern", "gram")
     )
-    candidates = spread_join(text_grams, anchors, "gram", salt_by=["text_id"]).select("text_id", "pattern")
+    candidates = text_grams.join(anchors, "gram").select("text_id", "pattern")
     return (
-        spread_join(candidates, texts, "text_id", salt_by=["pattern"])
+        candidates.join(texts, "text_id")
         .where(F.contains(F.col("text"), F.col("pattern")))
         .select("text_id", "pattern")
     )

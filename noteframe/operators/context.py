@@ -35,7 +35,7 @@ def _rows(df: DataFrame, part: str, key: Column | str, label: Column | str, deta
 
 def customer_context(
     t: NoteTables,
-    requests: DataFrame,
+    requests: DataFrame | None,
     as_of: str,
     lookback_days: int = 90,
     include_similar: bool = False,
@@ -48,38 +48,36 @@ def customer_context(
     One row per deal, milestone, member, insight, person, meeting and open task.
     Rows rather than one nested record, so a customer with any number of
     meetings or tasks stays spread over tasks; :func:`nest_context` nests them.
-    Customers without a note give no rows. ``brief`` shows counts in place of
+    ``requests`` (customer) picks customers, None takes all; customers without a
+    note give no rows. ``brief`` shows counts in place of
     insights, hooks and similar customers; ``write`` adds the write targets.
     """
     notes, cfg = t.notes, t.config
-    main = E.with_sections(
-        E.customer_notes(notes, cfg).join(requests.select("customer").distinct(), "customer", "left_semi")
-    )
+    main = E.customer_base(notes, requests, cfg)
     known = main.select("customer")
-    only = lambda df: df.join(known, "customer", "left_semi")
     hooks = main.select("customer", "path", E.section("Connect Hooks").alias("_hooks")).where(F.col("_hooks") != "")
     makers = {
         "note": lambda: _rows(main, "note", "path", "title", F.to_json("frontmatter")),
         "opportunity": lambda: _rows(
-            only(E.opportunities(notes, cfg)), "opportunity", F.concat_ws("#", "path", "ordinal"), "name", "guid"
+            E.opportunities(notes, cfg, main), "opportunity", F.concat_ws("#", "path", "ordinal"), "name", "guid"
         ),
         "milestone": lambda: _rows(
-            only(E.milestones(notes, cfg)),
+            E.milestones(notes, cfg, main),
             "milestone", F.concat_ws("#", "path", "ordinal"), "name", F.coalesce("id", "number"),
         ),
-        "team": lambda: _rows(only(E.team_members(notes, cfg)), "team", "ordinal", "name", "role"),
+        "team": lambda: _rows(E.team_members(notes, cfg, main=main), "team", "ordinal", "name", "role"),
         "insight": lambda: _rows(
-            only(E.insights(notes, 2, cfg)), "insight", F.concat_ws("#", "source", "ordinal"), "entry", F.lit(None)
+            E.insights(notes, 2, cfg, main), "insight", F.concat_ws("#", "source", "ordinal"), "entry", F.lit(None)
         ),
         "hook": lambda: _rows(hooks, "hook", "path", "_hooks", F.lit(None)),
         "person": lambda: _rows(P.linked_people(notes, known, cfg), "person", "path", "title", F.lit(None)),
         "meeting": lambda: _rows(
-            P.customer_meetings(notes, known, as_of, lookback_days, cfg), "meeting", "path", "title", "date"
+            P.customer_meetings(notes, known, as_of, lookback_days, cfg, main), "meeting", "path", "title", "date"
         ),
     }
     if include_open_items:
         makers["open_item"] = lambda: _rows(
-            P.open_items(notes, t.links, t.tasks, known, as_of, assignee, cfg),
+            P.open_items(notes, t.links, t.tasks, known, as_of, assignee, cfg, main),
             "open_item", F.concat_ws("#", "path", "ordinal"), "text", "assignee",
         )
     if include_similar:
@@ -90,7 +88,7 @@ def customer_context(
         total = lambda df, name: df.groupBy("customer").agg(F.count(F.lit(1)).alias("_n")).select(
             "customer", F.lit(name).alias("_name"), "_n"
         )
-        counts = [total(only(E.insights(notes, 2, cfg)), "agent_insights"), total(hooks, "connect_hooks")]
+        counts = [total(E.insights(notes, 2, cfg, main), "agent_insights"), total(hooks, "connect_hooks")]
         if include_similar:
             counts.append(total(E.similar_customers(notes, known, cfg), "similar_customers"))
         makers["count"] = lambda: _rows(reduce(DataFrame.union, counts), "count", "_name", "_name", "_n")
@@ -160,9 +158,9 @@ def person_context(t: NoteTables, requests: DataFrame) -> DataFrame:
     )
 
 
-def prefetch_ids(notes: DataFrame, requests: DataFrame, config: NoteConfig = DEFAULT) -> DataFrame:
+def prefetch_ids(notes: DataFrame, requests: DataFrame | None = None, config: NoteConfig = DEFAULT) -> DataFrame:
     """(customer, kind, value): account ids, deal ids, milestone ids and numbers, team."""
-    main = E.customer_notes(notes, config).join(requests.select("customer").distinct(), "customer", "left_semi")
+    main = E.customer_base(notes, requests, config)
     front = F.col("frontmatter")
     # Nested id object and key spellings (fixed values).
     nested = fm.value(front, "MSX")
@@ -171,11 +169,10 @@ def prefetch_ids(notes: DataFrame, requests: DataFrame, config: NoteConfig = DEF
     account = F.coalesce(
         fm.text(front, "accountid"), fm.text(front, "accountId"), inner("accountId"), inner("accountid")
     )
-    only = lambda df: df.join(main.select("customer"), "customer", "left_semi")
     row = lambda df, kind, value: df.select(
         "customer", F.lit(kind).alias("kind"), value.alias("value")
     ).where(F.col("value").isNotNull())
-    deals, steps = only(E.opportunities(notes, config)), only(E.milestones(notes, config))
+    deals, steps = E.opportunities(notes, config, main), E.milestones(notes, config, main)
     return reduce(
         DataFrame.union,
         [
@@ -184,7 +181,7 @@ def prefetch_ids(notes: DataFrame, requests: DataFrame, config: NoteConfig = DEF
             row(deals, "opportunity_guid", F.nullif(F.col("guid"), F.lit(""))),
             row(steps, "milestone_id", F.nullif(F.col("id"), F.lit(""))),
             row(steps, "milestone_number", F.nullif(F.col("number"), F.lit(""))),
-            row(only(E.team_members(notes, config)), "team_member", F.col("name")),
+            row(E.team_members(notes, config, main=main), "team_member", F.col("name")),
         ],
     )
 
@@ -213,17 +210,13 @@ def prefetch_filters(ids: DataFrame, page_rows: int = 1_000) -> DataFrame:
 
 def drift_snapshot(notes: DataFrame, requests: DataFrame | None = None, config: NoteConfig = DEFAULT) -> DataFrame:
     """(customer, kind, item_key, name, state): what the notes say, ready to compare."""
-    main = E.customer_notes(notes, config)
-    if requests is not None:
-        main = main.join(requests.select("customer").distinct(), "customer", "left_semi")
-    known = main.select("customer")
-    only = lambda df: df.join(known, "customer", "left_semi")
+    main = E.customer_base(notes, requests, config)
     row = lambda df, kind, key, name, state: df.select(
         "customer", F.lit(kind).alias("kind"), key.alias("item_key"), name.alias("name"), state.alias("state")
     )
-    deals, steps = only(E.opportunities(notes, config)), only(E.milestones(notes, config))
-    team = only(E.team_members(notes, config, ("Team",)))
-    last = only(E.last_insight_date(notes, config))
+    deals, steps = E.opportunities(notes, config, main), E.milestones(notes, config, main)
+    team = E.team_members(notes, config, ("Team",), main)
+    last = E.last_insight_date(notes, config, main)
     name = F.col("name")
     return reduce(
         DataFrame.union,

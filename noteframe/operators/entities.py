@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from noteframe.config import DEFAULT, NoteConfig
 from noteframe.functions import frontmatter as fm
 from noteframe.functions import markdown as md
+from noteframe.session import cut
 
 
 def under(notes: DataFrame, root: str) -> DataFrame:
@@ -81,9 +82,24 @@ def flat_customers(notes: DataFrame, config: NoteConfig = DEFAULT) -> DataFrame:
 
 def with_sections(main: DataFrame) -> DataFrame:
     """Add ``_pieces``, the sections of the body, split once."""
+    if "_pieces" in main.columns:
+        return main
     return main.withColumn("_pieces", md.section_pieces(F.col("body")))
 
 
+def customer_base(notes: DataFrame, requests: DataFrame | None = None, config: NoteConfig = DEFAULT) -> DataFrame:
+    """The main notes with their sections as a written table.
+
+    For views that read several sections: the bodies are split once.
+    ``requests`` (customer) keeps the named customers, None keeps all.
+    """
+    main = customer_notes(notes, config)
+    if requests is not None:
+        main = main.join(requests.select("customer").distinct(), "customer", "left_semi")
+    keep = ["customer", "path", "layout", "title", "tags", "frontmatter", "mtime", "_pieces"]
+    return cut(with_sections(main).select(keep))
+
+
 def section(*headings: str) -> Column:
     """Content of the first of several headings present in ``_pieces``."""
 
@@ -95,13 +111,18 @@ def section(*headings: str) -> Column:
     return F.coalesce(*[last(h) for h in headings])
 
 
-def _sub_notes(notes: DataFrame, subdir: str, config: NoteConfig) -> DataFrame:
+def _main(notes: DataFrame, config: NoteConfig, main: DataFrame | None) -> DataFrame:
+    return customer_notes(notes, config) if main is None else main
+
+
+def _sub_notes(notes: DataFrame, subdir: str, config: NoteConfig, main: DataFrame | None = None) -> DataFrame:
     pattern = f"^{config.customers_root}[^/]+/{subdir}[^/]+$"
-    return (
+    found = (
         under(notes, config.customers_root)
         .where(F.rlike(F.col("path"), F.lit(pattern)))
         .withColumn("customer", md.customer_of(F.col("path"), config.customers_root))
     )
+    return found if main is None else found.join(main.select("customer"), "customer", "left_semi")
 
 
 def _section_lines(main: DataFrame, *headings: str) -> DataFrame:
@@ -116,10 +137,13 @@ def _with_fallback(sub: DataFrame, listed: DataFrame) -> DataFrame:
     return sub.unionByName(listed.join(have, "customer", "left_anti"), allowMissingColumns=True)
 
 
-def opportunities(notes: DataFrame, config: NoteConfig = DEFAULT) -> DataFrame:
-    """(customer, path, ordinal, name, guid, status, stage, owner, salesplay, last_validated)."""
+def opportunities(notes: DataFrame, config: NoteConfig = DEFAULT, main: DataFrame | None = None) -> DataFrame:
+    """(customer, path, ordinal, name, guid, status, stage, owner, salesplay, last_validated).
+
+    With ``main`` from :func:`customer_base`, of those customers only.
+    """
     f = F.col("frontmatter")
-    sub = _sub_notes(notes, config.opportunities_subdir, config).select(
+    sub = _sub_notes(notes, config.opportunities_subdir, config, main).select(
         "customer",
         "path",
         F.lit(0).alias("ordinal"),
@@ -127,17 +151,17 @@ def opportunities(notes: DataFrame, config: NoteConfig = DEFAULT) -> DataFrame:
         fm.first_text(f, "opportunityId", "guid", "opportunityid").alias("guid"),
         *[fm.text(f, key).alias(key) for key in ("status", "stage", "owner", "salesplay", "last_validated")],
     )
-    rows = _section_lines(customer_notes(notes, config), "Opportunities").withColumn(
+    rows = _section_lines(_main(notes, config, main), "Opportunities").withColumn(
         "_o", md.opportunity(F.col("line"))
     )
     listed = rows.where(F.col("_o").isNotNull()).select("customer", "path", "ordinal", "_o.name", "_o.guid")
     return _with_fallback(sub, listed)
 
 
-def milestones(notes: DataFrame, config: NoteConfig = DEFAULT) -> DataFrame:
+def milestones(notes: DataFrame, config: NoteConfig = DEFAULT, main: DataFrame | None = None) -> DataFrame:
     """(customer, path, ordinal, name, id, number, status, milestonedate, owner, opportunity)."""
     f = F.col("frontmatter")
-    sub = _sub_notes(notes, config.milestones_subdir, config).select(
+    sub = _sub_notes(notes, config.milestones_subdir, config, main).select(
         "customer",
         "path",
         F.lit(0).alias("ordinal"),
@@ -149,7 +173,7 @@ def milestones(notes: DataFrame, config: NoteConfig = DEFAULT) -> DataFrame:
         fm.text(f, "owner").alias("owner"),
         fm.text(f, "opportunity").alias("opportunity"),
     )
-    rows = _section_lines(customer_notes(notes, config), "Milestones").withColumn("_m", md.milestone(F.col("line")))
+    rows = _section_lines(_main(notes, config, main), "Milestones").withColumn("_m", md.milestone(F.col("line")))
     listed = rows.where(F.col("_m").isNotNull()).select(
         "customer", "path", "ordinal", "_m.name", "_m.id", "_m.number"
     )
@@ -157,18 +181,23 @@ def milestones(notes: DataFrame, config: NoteConfig = DEFAULT) -> DataFrame:
 
 
 def team_members(
-    notes: DataFrame, config: NoteConfig = DEFAULT, headings: tuple[str, ...] | None = None
+    notes: DataFrame,
+    config: NoteConfig = DEFAULT,
+    headings: tuple[str, ...] | None = None,
+    main: DataFrame | None = None,
 ) -> DataFrame:
     """(customer, path, ordinal, name, role)."""
-    rows = _section_lines(customer_notes(notes, config), *(headings or config.team_headings))
+    rows = _section_lines(_main(notes, config, main), *(headings or config.team_headings))
     rows = rows.withColumn("_t", md.member(F.col("line"))).where(F.col("_t").isNotNull())
     return rows.select("customer", "path", "ordinal", "_t.name", "_t.role")
 
 
-def insights(notes: DataFrame, latest: int = 2, config: NoteConfig = DEFAULT) -> DataFrame:
+def insights(
+    notes: DataFrame, latest: int = 2, config: NoteConfig = DEFAULT, main: DataFrame | None = None
+) -> DataFrame:
     """(customer, source, partitioned, ordinal, entry): the newest insight notes
     of a customer, else the lines of the insight section."""
-    sub = _sub_notes(notes, config.insights_subdir, config)
+    sub = _sub_notes(notes, config.insights_subdir, config, main)
     # row_number under a limit is pruned before the shuffle, so a customer with
     # very many files sends only its best few per task.
     newest = sub.withColumn(
@@ -180,7 +209,7 @@ def insights(notes: DataFrame, latest: int = 2, config: NoteConfig = DEFAULT) ->
         F.lit(True).alias("partitioned"),
         F.posexplode(F.transform(md.lines(F.col("body")), md.insight)).alias("ordinal", "entry"),
     )
-    listed = _section_lines(customer_notes(notes, config), "Agent Insights").select(
+    listed = _section_lines(_main(notes, config, main), "Agent Insights").select(
         "customer",
         F.col("path").alias("source"),
         F.lit(False).alias("partitioned"),
@@ -192,10 +221,10 @@ def insights(notes: DataFrame, latest: int = 2, config: NoteConfig = DEFAULT) ->
 
 
 def stale_insights(
-    notes: DataFrame, as_of: str, config: NoteConfig = DEFAULT
+    notes: DataFrame, as_of: str, config: NoteConfig = DEFAULT, main: DataFrame | None = None
 ) -> DataFrame:
     """(customer, ordinal, text, date, age_days) of insights older than the limit."""
-    rows = _section_lines(customer_notes(notes, config), "Agent Insights")
+    rows = _section_lines(_main(notes, config, main), "Agent Insights")
     day = md.found(F.col("line"), md.DATED_ITEM, 1)
     age = F.datediff(F.lit(as_of).cast("date"), day.try_cast("date"))
     return (
@@ -210,9 +239,9 @@ def stale_insights(
     )
 
 
-def last_insight_date(notes: DataFrame, config: NoteConfig = DEFAULT) -> DataFrame:
+def last_insight_date(notes: DataFrame, config: NoteConfig = DEFAULT, main: DataFrame | None = None) -> DataFrame:
     """(customer, last_insight_date): latest day text in the insight section."""
-    staged = with_sections(customer_notes(notes, config))
+    staged = with_sections(_main(notes, config, main))
     return staged.select("customer", md.day_in(F.coalesce(section("Agent Insights"), F.lit(""))).alias("last_insight_date"))
 
 

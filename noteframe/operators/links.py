@@ -25,7 +25,7 @@ def title_dict(notes: DataFrame) -> DataFrame:
 def resolve_titles(titles: DataFrame, requests: DataFrame, column: str = "name") -> DataFrame:
     """Requests with the path their name stands for, NULL if none."""
     keyed = requests.withColumn("key", F.lower(F.col(column)))
-    return spread_join(keyed, titles, "key", "left", salt_by=requests.columns).drop("key")
+    return keyed.join(titles, "key", "left").drop("key")
 
 
 def raw_links(notes: DataFrame) -> DataFrame:

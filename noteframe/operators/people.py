@@ -55,11 +55,16 @@ def recent_meetings(
 
 
 def frontmatter_meetings(
-    notes: DataFrame, as_of: str, lookback_days: int = 90, config: NoteConfig = DEFAULT
+    notes: DataFrame,
+    as_of: str,
+    lookback_days: int = 90,
+    config: NoteConfig = DEFAULT,
+    main: DataFrame | None = None,
 ) -> DataFrame:
     """(customer, path, title, date) from the ``recent_meetings`` list of customers."""
     items = F.try_variant_get("frontmatter", "$.recent_meetings", "array<variant>")
-    rows = customer_notes(notes, config).select("customer", F.explode(items).alias("_m"))
+    main = customer_notes(notes, config) if main is None else main
+    rows = main.select("customer", F.explode(items).alias("_m"))
     path, day, title = [fm.text(F.col("_m"), key) for key in ("path", "date", "title")]
     return (
         rows.select("customer", path.alias("path"), F.coalesce(title, md.stem(path)).alias("title"), day.alias("date"))
@@ -69,12 +74,17 @@ def frontmatter_meetings(
 
 
 def customer_meetings(
-    notes: DataFrame, requests: DataFrame, as_of: str, lookback_days: int = 90, config: NoteConfig = DEFAULT
+    notes: DataFrame,
+    requests: DataFrame,
+    as_of: str,
+    lookback_days: int = 90,
+    config: NoteConfig = DEFAULT,
+    main: DataFrame | None = None,
 ) -> DataFrame:
     """The listed meetings of a customer, or the scanned ones when it lists none."""
-    listed = frontmatter_meetings(notes, as_of, lookback_days, config).join(
-        requests.select("customer").distinct(), "customer", "left_semi"
-    )
+    listed = frontmatter_meetings(notes, as_of, lookback_days, config, main)
+    if main is None:
+        listed = listed.join(requests.select("customer").distinct(), "customer", "left_semi")
     scanned = recent_meetings(notes, requests, as_of, lookback_days, config)
     have = listed.select("customer").distinct()
     return listed.unionByName(
@@ -114,10 +124,12 @@ def open_items(
     as_of: str,
     assignee: str | None = None,
     config: NoteConfig = DEFAULT,
+    main: DataFrame | None = None,
 ) -> DataFrame:
     """(customer, path, ordinal, text, assignee): open tasks in the customer note,
     its neighbours and its meetings of the last 90 days."""
-    mains = customer_paths(notes, requests, config).select("customer", "path")
+    mains = customer_paths(notes, requests, config) if main is None else main
+    mains = mains.select("customer", "path")
     graph = edges(links)
     outward = spread_join(graph, mains.withColumnRenamed("path", "src"), "src", salt_by=["dst"])
     inward = spread_join(graph, mains.withColumnRenamed("path", "dst"), "dst", salt_by=["src"])
@@ -131,7 +143,7 @@ def open_items(
     wanted = tasks.where(~F.col("done"))
     if assignee is not None:
         wanted = wanted.where(F.lower("assignee") == assignee.lower())
-    return spread_join(pairs, wanted, "path", salt_by=["customer"]).select(
+    return pairs.join(wanted, "path").select(
         "customer", "path", "ordinal", "text", "assignee"
     )
 

@@ -871,7 +871,7 @@ def _(spark, sf):
 @query("prefetch_ids", "SELECT customer, kind, value FROM ids")
 def _(spark, sf):
     t = B.corpus(spark, sf)
-    return C.prefetch_ids(t.notes, customers_of(t))
+    return C.prefetch_ids(t.notes)
 
 
 @query(
@@ -884,7 +884,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     t = B.corpus(spark, sf)
-    return C.prefetch_filters(C.prefetch_ids(t.notes, customers_of(t)))
+    return C.prefetch_filters(C.prefetch_ids(t.notes))
 
 
 # Contexts and drift --------------------------------------------------------
@@ -905,7 +905,7 @@ _CONTEXT_ROWS = " UNION ALL ".join(_CONTEXT.values())
 @query("customer_context", f"SELECT customer, part, key, label, detail FROM ({_CONTEXT_ROWS})")
 def _(spark, sf):
     t = B.corpus(spark, sf)
-    return C.customer_context(t, customers_of(t), AS_OF).where("part <> 'note'")
+    return C.customer_context(t, None, AS_OF).where("part <> 'note'")
 
 
 @query(
@@ -915,7 +915,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     t = B.corpus(spark, sf)
-    rows = C.customer_context(t, customers_of(t), AS_OF).where("part <> 'note'")
+    rows = C.customer_context(t, None, AS_OF).where("part <> 'note'")
     keys = F.array_join(F.transform("items", lambda i: i["key"]), ",")
     return C.nest_context(rows).select("customer", "part", "page", F.size("items").alias("items"), keys.alias("keys"))
 
@@ -929,7 +929,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     t = B.corpus(spark, sf)
-    rows = C.customer_context(t, customers_of(t), AS_OF, view="brief").where("part <> 'note'")
+    rows = C.customer_context(t, None, AS_OF, view="brief").where("part <> 'note'")
     return rows.groupBy("customer", "part").agg(F.count(F.lit(1)).alias("items"))
 
 
@@ -1075,7 +1075,7 @@ def _fuzzy_sql(limit: int) -> str:
             list_transform(range(1, len({field})-n+2), lambda i: array_to_string({field}[i:i+n-1], ' ')) END) AS r)
             WHERE levenshtein(r, fq) <= floor(length(fq)*0.4))/length(fq)::DOUBLE"""
 
-    factor = lambda d, w: f"coalesce(pow(greatest({d}, 0.001), {w}/6.5), 1.0)"
+    factor = lambda d, w: f"(CASE WHEN {d} IS NULL THEN 1.0 ELSE pow(greatest({d}, 0.001), {w}/6.5) END)"
     return f"""SELECT query_id, path, title, tagline, 1.0 - s/worst*0.9 AS score, rank FROM (
         SELECT *, greatest(max(s) OVER (PARTITION BY query_id), 0.01) AS worst FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s, path) AS rank FROM (

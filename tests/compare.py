@@ -17,6 +17,9 @@ TABLES = (
 ).split()
 
 
+TIMES: list[float] = []
+
+
 def connect(sf_dir):
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
@@ -44,8 +47,10 @@ def rows_of(names, rows):
 
 def compare(spark, con, query, sf_dir):
     """(problem or None, row count)."""
+    start = time.time()
     df = query.run(spark, sf_dir)
     ours_names, ours = rows_of(df.columns, df.collect())
+    TIMES.append(time.time() - start)
     if query.sql is None:
         return None, sum(ours.values())
     res = con.execute(query.sql)
@@ -89,7 +94,8 @@ def main():
         except Exception as error:  # noqa: BLE001
             problem, count = f"{type(error).__name__}: {str(error)[:600]}", -1
         bad += problem is not None
-        print(f"{'FAIL' if problem else 'ok':5}{name:28}{count:8}{time.time() - start:8.2f}s", flush=True)
+        spent = TIMES[-1] if TIMES else 0.0
+        print(f"{'FAIL' if problem else 'ok':5}{name:28}{count:8}{spent:8.2f}s of {time.time() - start:.2f}s", flush=True)
         if problem:
             print("      " + problem, flush=True)
     print(f"{bad} of {len(names)} differ", flush=True)
