@@ -352,7 +352,7 @@ def relational_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("length", F.length("raw").cast("long"))
 
 
-_CORPORA: dict[tuple[str, str], str] = {}
+_CORPORA: dict[tuple[str, str], NoteTables] = {}
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> NoteTables:
@@ -365,9 +365,8 @@ def corpus(spark: SparkSession, sf_dir: str) -> NoteTables:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CORPORA:
         root = fresh_path(spark, "corpus")
-        NoteTables.from_raw(relational_notes(spark, sf_dir)).save(spark, root)
-        _CORPORA[key] = root
-    return NoteTables.load(spark, _CORPORA[key])
+        _CORPORA[key] = NoteTables.from_raw(relational_notes(spark, sf_dir)).save(spark, root)
+    return _CORPORA[key]
 
 
 def document_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
