@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import json
 import math
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -53,10 +54,40 @@ def yaml_to_json(block: Column) -> Column:
             for first, pairs in base.yaml_implicit_resolvers.items()
         }
         loader = type("NoteLoader", (base,), {"yaml_implicit_resolvers": resolvers})
+        # Most blocks are flat lines of plain values, which need no YAML parser.
+        item = r'"[^"\\]*"|[A-Za-z](?:[A-Za-z0-9 _./-]*[A-Za-z0-9])?|[0-9]+-[A-Za-z](?:[A-Za-z -]*[A-Za-z])?'
+        number = r"-?(?:0|[1-9][0-9]{0,14})(?:\.[0-9]{1,6})?"
+        line_of = re.compile(
+            rf"([A-Za-z_][A-Za-z0-9_-]*): (?:({number})|(true|false)|({item})|\[((?:{item})(?:, (?:{item}))*)\])"
+        )
+        item_of = re.compile(item)
+        reserved = {"null", "Null", "NULL", "true", "True", "TRUE", "false", "False", "FALSE"}
+
+        def flat(text):
+            out = {}
+            for line in text.split("\n"):
+                m = line_of.fullmatch(line)
+                if m is None or m[1] in reserved:
+                    return None
+                key, num, flag, word, many = m.groups()
+                if num is not None:
+                    out[key] = float(num) if "." in num else int(num)
+                elif flag is not None:
+                    out[key] = flag == "true"
+                else:
+                    words = [word] if many is None else item_of.findall(many)
+                    if not reserved.isdisjoint(words):
+                        return None
+                    words = [w[1:-1] if w[0] == '"' else w for w in words]
+                    out[key] = words[0] if many is None else words
+            return out
 
         def convert(text):
             if text is None:
                 return None
+            simple = flat(text)
+            if simple is not None:
+                return json.dumps(simple)
             try:
                 value = yaml.load(text, Loader=loader)
                 return json.dumps(plain(value)) if isinstance(value, dict) else "{}"

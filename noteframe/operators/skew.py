@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000  # rows of one key that a single task may well take
+SMALL_BYTES = 32 << 20  # an input estimated below this holds no such key
 MAX_HOT_KEYS = 1_024  # size bound of the broadcast list of hot keys
 MAX_SHARES = 4_096
 
@@ -28,6 +29,11 @@ def hot_keys(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFram
     )
 
 
+def _estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of a plan; no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread_join(
     big: DataFrame,
     small: DataFrame,
@@ -40,9 +46,12 @@ def spread_join(
 
     Rows of a hot key are dealt to shares by a hash of ``salt_by``; the rows of
     ``small`` with that key are repeated once per share. ``how`` is inner, left,
-    left_semi or left_anti, seen from ``big``.
+    left_semi or left_anti, seen from ``big``. An input the optimizer knows to be
+    small is joined as it is; a wrong estimate costs time, not rows.
     """
     on = [on] if isinstance(on, str) else list(on)
+    if hot_rows >= HOT_ROWS and _estimated_bytes(big) < SMALL_BYTES:
+        return big.join(small, on, how)
     hot = F.broadcast(hot_keys(big.where(_all_set(on)), on, hot_rows))
     salted_by = salt_by or [c for c in big.columns if c not in on] or on
     spread = F.pmod(F.xxhash64(*salted_by), F.col("_shares")).cast("int")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from noteframe.functions import markdown as md
 from noteframe.operators.skew import hot_keys
 from noteframe.plans.tables import NoteTables
-from noteframe.session import fresh_path, tune
+from noteframe.session import cut, fresh_path, tune
 
 AS_OF = "2001-08-01"
 PAGE_LINES = 200
@@ -352,9 +352,19 @@ def relational_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("length", F.length("raw").cast("long"))
 
 
+_RAW: dict[tuple[str, str], DataFrame] = {}
 _CORPORA: dict[tuple[str, str], NoteTables] = {}
 
 
+def raw_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rendered notes, written once per application as files would be."""
+    tune(spark)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _RAW:
+        _RAW[key] = cut(relational_notes(spark, sf_dir))
+    return _RAW[key]
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> NoteTables:
     """The parsed relational corpus, indexed once per application.
 
@@ -365,7 +375,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> NoteTables:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CORPORA:
         root = fresh_path(spark, "corpus")
-        _CORPORA[key] = NoteTables.from_raw(relational_notes(spark, sf_dir)).save(spark, root)
+        _CORPORA[key] = NoteTables.from_raw(raw_corpus(spark, sf_dir)).save(spark, root)
     return _CORPORA[key]
 
 
