@@ -55,7 +55,7 @@ def yaml_to_json(block: Column) -> Column:
         }
         loader = type("NoteLoader", (base,), {"yaml_implicit_resolvers": resolvers})
         # Most blocks are flat lines of plain values, which need no YAML parser.
-        item = r'"[^"\\]*"|[A-Za-z](?:[A-Za-z0-9 _./-]*[A-Za-z0-9])?|[0-9]+-[A-Za-z](?:[A-Za-z -]*[A-Za-z])?'
+        item = r'"[ !#-\[\]-~\u00a1-\u024f]*"|[A-Za-z](?:[A-Za-z0-9 _./-]*[A-Za-z0-9])?|[0-9]+-[A-Za-z](?:[A-Za-z -]*[A-Za-z])?'
         number = r"-?(?:0|[1-9][0-9]{0,14})(?:\.[0-9]{1,6})?"
         line_of = re.compile(
             rf"([A-Za-z_][A-Za-z0-9_-]*): (?:({number})|(true|false)|({item})|\[((?:{item})(?:, (?:{item}))*)\])"
