@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noteframe.session import cut
+
 INLINE_PATTERNS = 32  # up to here patterns become literals of one narrow scan
 GRAM = 3
 
@@ -36,8 +38,9 @@ def contains_pairs(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     ``texts`` is (text_id, text), ``patterns`` is (pattern); both are compared
     as they are and blank patterns are left out. Few patterns are tested in one
     scan of the texts. Many patterns are anchored: a text can hold a pattern
-    only if it holds the pattern's rarest 3-gram, so an equi-join on that gram
-    gives the candidates, which are then tested.
+    only if it holds each inner word of it, or each 3-gram where it has no inner
+    word. An equi-join on the rarest of these gives the candidates, which are
+    then tested.
     """
     patterns = patterns.select("pattern").where(F.trim("pattern") != "").distinct()
     few = bounded_values(patterns, "pattern")
@@ -53,26 +56,33 @@ def contains_pairs(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def anchored_pairs(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """The anchored route of :func:`contains_pairs`, for any number of patterns."""
-    sizes = [
-        size
-        for size in range(1, GRAM + 1)
-        if not patterns.where(
-            F.length("pattern") >= GRAM if size == GRAM else F.length("pattern") == size
-        ).isEmpty()
-    ]
-    pattern_size = F.least(F.length("pattern"), F.lit(GRAM))
+    words = F.split("pattern", r"\s+")
+    # Words between the first and the last one stand whole in the text as well.
+    inner = F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
+    kind = F.when(F.size(inner) > 0, 0).otherwise(F.least(F.length("pattern"), F.lit(GRAM)))
+    kinded = patterns.select("pattern", kind.alias("kind"), inner.alias("inner"))
+    kinds = [k for k in range(GRAM + 1) if not kinded.where(F.col("kind") == k).isEmpty()]
+
+    def keys(k: int, text, tokens):
+        return tokens if k == 0 else _grams(text, k)
+
     wanted = None
-    for size in sizes:
-        part = patterns.where(pattern_size == size).select(
-            "pattern", F.explode(_grams(F.col("pattern"), size)).alias("gram")
+    for k in kinds:
+        part = kinded.where(F.col("kind") == k).select(
+            "pattern", F.explode(F.array_distinct(keys(k, F.col("pattern"), F.col("inner")))).alias("gram")
         )
         wanted = part if wanted is None else wanted.union(part)
+    # Pattern keys, anchors and candidates are small next to the texts. Written
+    # tables have a known size, so Spark broadcasts them exactly when they fit
+    # and the texts then stay where they are; else it shuffles both sides.
+    wanted = cut(wanted)
     needed = wanted.select("gram").distinct()
-    all_grams = F.concat(*[_grams(F.col("text"), size) for size in sizes])
-    text_grams = texts.select("text_id", F.explode(all_grams).alias("gram"))
-    # How common each needed gram is; counts are combined before the shuffle.
+    tokens = F.array_distinct(F.split("text", r"\s+"))
+    all_keys = F.array_distinct(F.concat(*[keys(k, F.col("text"), tokens) for k in kinds]))
+    text_grams = texts.select("text_id", F.explode(all_keys).alias("gram"))
+    # How common each needed key is; counts are combined before the shuffle.
     common = text_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).join(needed, "gram", "left_semi")
-    anchors = (
+    anchors = cut(
         wanted.join(common, "gram", "left")
         .groupBy("pattern")
         .agg(
@@ -82,7 +92,7 @@ def anchored_pairs(texts: DataFrame, patterns: DataFrame) -> DataFrame:
         .where(F.col("n") > 0)
         .select("pattern", "gram")
     )
-    candidates = text_grams.join(anchors, "gram").select("text_id", "pattern")
+    candidates = cut(text_grams.join(anchors, "gram").select("text_id", "pattern"))
     return (
         candidates.join(texts, "text_id")
         .where(F.contains(F.col("text"), F.col("pattern")))

@@ -291,31 +291,43 @@ def similar_customers(notes: DataFrame, requests: DataFrame, config: NoteConfig
     )
 
 
-def similar_counts(notes: DataFrame, config: NoteConfig = DEFAULT) -> DataFrame:
+SUBSET_TAGS = 10  # tag sets up to this size are counted through their subsets
+
+
+def _subsets(tags: Column) -> Column:
+    """All non-empty subsets of a sorted tag array."""
+    masks = F.sequence(F.lit(1), F.pow(F.lit(2), F.size(tags)).cast("int") - 1)
+    return F.transform(
+        masks, lambda m: F.filter(tags, lambda t, i: F.getbit(m, i) == 1)
+    )
+
+
+def similar_counts(notes: DataFrame, config: NoteConfig = DEFAULT, subset_tags: int = SUBSET_TAGS) -> DataFrame:
     """(customer, similar_count): how many other notes below the customers root
     share a tag with each customer.
 
-    Notes with the same tag set are counted as one class first, so the tag join
-    pairs classes, not notes, however many notes carry a common tag.
+    Notes are first counted per tag set. The notes that share a tag with a set
+    are the union of the notes of its tags, which inclusion and exclusion over
+    the subsets gives without pairing sets. Sets of more than ``subset_tags``
+    tags, for which the subsets would be too many, are paired through their tags.
     """
-    below = under(notes, config.customers_root)
-    class_of = F.array_sort("tags")
-    classes = (
-        below.where(F.size("tags") > 0)
-        .groupBy(class_of.alias("_class"))
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .withColumn("_id", F.xxhash64("_class"))
-    )
-    exploded = classes.select("_class", "_size", F.explode("_class").alias("tag"))
-    near = (
-        exploded.select(F.col("_class").alias("_a"), "tag")
-        .join(exploded.select(F.col("_class").alias("_b"), F.col("_size"), "tag"), "tag")
-        .groupBy("_a", "_b")
-        .agg(F.first("_size").alias("_size"))
-        .groupBy("_a")
-        .agg((F.sum("_size") - 1).alias("similar_count"))
+    below = under(notes, config.customers_root).where(F.size("tags") > 0)
+    sets = cut(below.groupBy(F.array_sort("tags").alias("_set")).agg(F.count(F.lit(1)).alias("_size")))
+    small, large = sets.where(F.size("_set") <= subset_tags), sets.where(F.size("_set") > subset_tags)
+    parts = small.select("_set", "_size", F.explode(_subsets(F.col("_set"))).alias("_part"))
+    holders = parts.groupBy("_part").agg(F.sum("_size").alias("_n"))
+    sign = F.when(F.size("_part") % 2 == 1, F.col("_n")).otherwise(-F.col("_n"))
+    among_small = parts.select("_set", "_part").join(holders, "_part").groupBy("_set").agg(F.sum(sign).alias("_near"))
+    tag_rows = lambda df: df.select("_set", "_size", F.explode("_set").alias("tag"))
+    pairs = lambda mine, others: (
+        tag_rows(mine).select("_set", "tag")
+        .join(tag_rows(others).select(F.col("_set").alias("_other"), "_size", "tag"), "tag")
+        .select("_set", "_other", "_size").distinct()
+        .groupBy("_set").agg(F.sum("_size").alias("_near"))
     )
-    main = customer_notes(notes, config).select("customer", class_of.alias("_a"))
-    return main.join(near, "_a", "left").select(
+    near = among_small.union(pairs(small, large)).union(pairs(large, sets))
+    near = near.groupBy("_set").agg((F.sum("_near") - 1).alias("similar_count"))
+    main = customer_notes(notes, config).select("customer", F.array_sort("tags").alias("_set"))
+    return main.join(near, "_set", "left").select(
         "customer", F.coalesce("similar_count", F.lit(0)).cast("long").alias("similar_count")
     )

@@ -53,6 +53,17 @@ def test_similar_counts_and_listing_agree(spark, garden):
     assert {r.customer: r["count"] for r in listed.collect()} == counts
 
 
+@pytest.mark.parametrize("subset_tags", [10, 2, 0])
+def test_similar_counts_match_brute_force(spark, subset_tags):
+    sets = [["a"], ["a", "b"], ["b", "c", "d"], ["e"], [], ["a", "b"], ["d", "e", "f", "g"], ["h"], ["c"]]
+    rows = [(f"Customers/C{i}.md", f"C{i}", tags, "") for i, tags in enumerate(sets)]
+    notes = spark.createDataFrame(rows, "path string, title string, tags array<string>, body string")
+    want = {
+        f"C{i}": sum(j != i and bool(set(tags) & set(other)) for j, other in enumerate(sets)) for i, tags in enumerate(sets)
+    }
+    assert {r.customer: r.similar_count for r in E.similar_counts(notes, subset_tags=subset_tags).collect()} == want
+
+
 def test_meetings(spark, garden):
     both = names(spark, "Fern Ltd", "Moor")
     got = {(r.customer, r.path) for r in P.recent_meetings(garden.notes, both, AS_OF).collect()}
