@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from noteframe.operators.links import edges
 from noteframe.operators.parse import note_tags
+from noteframe.sources.audit import audit_summary
 
 
 def corpus_stats(notes: DataFrame, links: DataFrame) -> DataFrame:
@@ -66,6 +67,14 @@ def folder_counts(notes: DataFrame) -> DataFrame:
     return rows.groupBy("folder", "depth").agg(F.count(F.lit(1)).alias("note_count"))
 
 
+def runtime_health(notes: DataFrame, links: DataFrame, log: DataFrame) -> DataFrame:
+    """One row: corpus counts, newest note, last log day and last write."""
+    rows = corpus_stats(notes, links)
+    for part in (notes.agg(F.max("mtime").alias("last_indexed")), audit_summary(log)):
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+
+
 def overview(notes: DataFrame, links: DataFrame, tags: int = 20, linked: int = 10) -> DataFrame:
     """(part, key, value) rows: stats, top tags, most linked notes, folders, last change."""
     stats = corpus_stats(notes, links)

@@ -829,6 +829,18 @@ def _(spark, sf):
     return A.overview(t.notes, t.links)
 
 
+@query(
+    "runtime_health",
+    """SELECT (SELECT count(*) FROM notes) AS note_count, (SELECT count(*) FROM edge) AS link_count,
+         (SELECT count(DISTINCT tag) FROM (SELECT unnest(tags) AS tag FROM notes)) AS tag_count,
+         (SELECT max(mtime) FROM (SELECT mtime FROM cust UNION ALL SELECT mtime FROM meet)) AS last_indexed,
+         (SELECT max(ts)::DATE FROM events) AS last_log_date, (SELECT max(ts) FROM events) AS last_write""",
+)
+def _(spark, sf):
+    t = B.corpus(spark, sf)
+    return A.runtime_health(t.notes, t.links, B.event_log(spark, sf))
+
+
 _FRESH = """customer, path, last_modified, last_validated, stale_insights, opportunities, with_guid, milestones, with_id,
     first_stale_days, has_team, has_connect_hooks"""
 

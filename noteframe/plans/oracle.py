@@ -72,7 +72,7 @@ _CTE = {
         FROM cust WHERE k%10<>0 AND k%4=2""",
     "ms": """
         SELECT customer, path, 0 AS ordinal, name, id, number, 'on-track' AS status, '2001-09-01' AS milestonedate,
-          NULL AS owner, 'Deal '||k||'-0' AS opportunity FROM ms_note
+          NULL::VARCHAR AS owner, 'Deal '||k||'-0' AS opportunity FROM ms_note
         UNION ALL
         SELECT customer, path, ordinal, name, id, number, NULL, NULL, NULL, NULL FROM ms_line
         WHERE customer NOT IN (SELECT customer FROM ms_note)""",

@@ -45,6 +45,23 @@ def rows_of(names, rows):
     return [names[i] for i in order], Counter(tuple(plain(r[i]) for i in order) for r in rows)
 
 
+def family(kind) -> str:
+    """Broad type family of a Spark or DuckDB type name."""
+    kind = str(kind).lower()
+    for name, words in {
+        "integer": ("int", "long", "short"),
+        "floating": ("double", "float"),
+        "decimal": ("decimal",),
+        "text": ("string", "varchar"),
+        "boolean": ("bool",),
+        "time": ("timestamp",),
+        "day": ("date",),
+    }.items():
+        if any(w in kind for w in words):
+            return name
+    return kind
+
+
 def compare(spark, con, query, sf_dir):
     """(problem or None, row count)."""
     start = time.time()
@@ -57,6 +74,11 @@ def compare(spark, con, query, sf_dir):
     names = [d[0] for d in res.description]
     want_names, want = rows_of(names, res.fetchall())
     count = sum(ours.values())
+    kinds = {f.name: family(f.dataType) for f in df.schema}
+    want_kinds = {d[0]: family(d[1]) for d in res.description}
+    if kinds != want_kinds and count:
+        odd = {n: (kinds[n], want_kinds.get(n)) for n in kinds if kinds[n] != want_kinds.get(n)}
+        return f"types differ {odd}", count
     if ours_names != want_names:
         return f"columns {ours_names} != {want_names}", count
     if ours != want:
