@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noteframe.llm import quality
+from noteframe.llm import near_dups, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,3 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op5_quality_rules(spark, sf_dir):
     return quality.quality_counts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_minhash_near_dedup(spark, sf_dir):
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
