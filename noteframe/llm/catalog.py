@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noteframe.llm import near_dups, quality
+from noteframe.llm import near_dups, packing, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,3 +29,13 @@ def op5_quality_rules(spark, sf_dir):
 @query
 def op2_minhash_near_dedup(spark, sf_dir):
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_toxicity(spark, sf_dir):
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
