@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noteframe.llm import near_dups, quality
+from noteframe.llm import near_dups, packing, quality, toxicity
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,12 +12,27 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep_good(docs)
 
 
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below 0.5 by models trained on the labelled ones among them."""
+    return toxicity.keep_ordinary(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, similarity 0.8)."""
     return near_dups.keep_one(docs)
 
 
-STAGES = [("quality", good_quality), ("near_duplicates", without_near_copies)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document in its place of a training sequence."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("toxicity", not_toxic),
+    ("near_duplicates", without_near_copies),
+    ("packing", packed),
+]
 
 # Sketches, language models, MinHash and packing have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
