@@ -6,7 +6,7 @@ that the ranks of one element are correlated and each slot is taken once; an ele
 stops as soon as its next rank can lower no slot. Bands of the signature put classes into
 buckets. In a bucket each class is compared with the smallest one only; links are confirmed on
 the full sets and merged. Buckets that still hold several groups are finished
-exactly by a prefix join: two sets that overlap enough share one of their rarest shingles.
+exactly by a prefix join over differences from a common reference (see ``_leftover``).
 So no bucket is paired with itself and nothing is capped.
 
 Defined results: a null or wordless text has an empty set and links with nothing; a text
@@ -56,7 +56,7 @@ def superminhash(values: np.ndarray, owner: np.ndarray, texts: int, slots: int)
     step = np.uint64(0x9E3779B97F4A7C15)
     order = np.empty((0, slots), np.uint8 if slots <= 256 else np.uint16)
     for j in range(slots):
-        seed = values + np.uint64(2 * j + 1) * step
+        seed = values + np.uint64((2 * j + 1) * int(step) & 0xFFFFFFFFFFFFFFFF)
         rank = j + (at.mix(seed) >> np.uint64(11)).astype(np.float64) / 2.0**53
         pick = j + (at.mix(seed + step) % np.uint64(slots - j)).astype(np.int64)
         if j == 0:
@@ -146,33 +146,70 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, plan: NearDup) -> DataFrame:
 
 
 def _leftover(members: DataFrame, found: DataFrame, sets: DataFrame, plan: NearDup) -> DataFrame:
-    """Pairs still to be compared: in buckets that hold several groups, by shared rare shingles.
-
-    Sets that reach the similarity share a shingle among the ``n - ceil(0.8 n) + 1`` first ones of
-    each in any common order; rare shingles come first, so a passage of many documents
-    pairs none of them. Only pairs between different groups are made.
+    """Links still missing where a bucket holds several groups.
+
+    All members of such a bucket are written as differences from one reference set ``p``,
+    the smallest group's first document. With ``c`` shingles of ``x`` in ``p``, two sets reach the
+    similarity only if their differences share ``R = a (|x| + |y|) + |p| - c_x - c_y`` shingles, where
+    ``a = t / (1 + t)``. So they share one of the ``|difference| - R + 1`` rarest of each. Bounds of ``R`` that hold for
+    every possible partner: one outside the reference's group is not similar to ``p``, which
+    gives ``R > a |x| + (1 - a) |p| - c``; for any partner the sizes and ``c_y <= c_x + |y - x|`` give the
+    other. Members inside the group are not paired with each other, and the edits that
+    near copies have on their own are rare, so a large group pairs little.
     """
+    t = plan.percent
     group = F.coalesce("component", "id").alias("group")
     grouped = members.where("n_members > 2").join(found.withColumnRenamed("node", "id"), "id", "left")
     grouped = grouped.select("key", "id", group)
-    mixed = grouped.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y")
-    open_ids = grouped.join(mixed.select("key"), "key", "left_semi").select("id", "group").distinct()
-    flat = cut(
-        open_ids.join(sets, "id").select("id", "group", F.size("set").alias("n"), F.explode("set").alias("shingle"))
+    mixed = grouped.groupBy("key").agg(F.min("group").alias("ref"), F.max("group").alias("last")).where("ref <> last")
+    against = grouped.join(mixed.select("key", "ref"), "key").select("id", "group", "ref").distinct()
+    both = against.join(sets, "id").join(sets.select(F.col("id").alias("ref"), F.col("set").alias("p")), "ref")
+    both = both.withColumn("c", F.size(F.array_intersect("set", "p")))
+    n, m, c = F.size("set"), F.size("p"), F.col("c")
+    near = 100 * c >= t * (n + m - c)
+    inside = near | (F.col("group") == F.col("ref"))
+    outer = F.floor((t * n + 100 * m - (100 + t) * c) / (100 + t)) + 1
+    any_partner = F.greatest(
+        F.lit(1),
+        F.ceil((t * n - 100 * c) / 100),
+        F.ceil((t * (2 * n + m - 2 * c) - 100 * n) / t),
+        F.ceil((t * (n + m - c) - 100 * n) / t),
+    )
+    different = F.concat(F.array_except("set", "p"), F.array_except("p", "set"))
+    far = cut(
+        both.select(
+            "id",
+            "ref",
+            n.alias("n"),
+            (near & (F.col("id") != F.col("ref"))).alias("near"),
+            inside.alias("inside"),
+            F.when(inside, F.col("ref")).otherwise(F.col("group")).alias("group"),
+            (F.size(different) - outer + 1).cast("int").alias("short"),
+            (F.size(different) - F.when(inside, outer).otherwise(any_partner) + 1).cast("int").alias("long"),
+            different.alias("different"),
+        )
+    )
+    flat = far.where("long > 0").select("id", "ref", F.explode("different").alias("shingle"), "group")
+    often = flat.groupBy("ref", "shingle").agg(
+        F.count(F.lit(1)).alias("df"), (F.min("group") != F.max("group")).alias("mixed")
     )
-    often = flat.groupBy("shingle").agg(
-        F.count(F.lit(1)).alias("df"), F.min("group").alias("x"), F.max("group").alias("y")
+    listed = flat.join(often, ["ref", "shingle"]).groupBy("ref", "id")
+    listed = listed.agg(F.sort_array(F.collect_list(F.struct("df", "shingle", "mixed"))).alias("listed"))
+    rare = far.drop("different").join(listed, ["ref", "id"])
+    rare = rare.select(
+        "id", "ref", "n", "inside", "group", "short", F.posexplode(F.slice("listed", F.lit(1), F.col("long"))).alias("at", "e")
     )
-    ranked = flat.join(often, "shingle").groupBy("id", "group", "n").agg(
-        F.sort_array(F.collect_list(F.struct("df", "shingle", (F.col("x") != F.col("y")).alias("mixed")))).alias("s")
+    rare = rare.where("e.mixed").select(
+        "ref", F.col("e.shingle").alias("shingle"), "id", "n", "inside", "group", (F.col("at") < F.col("short")).alias("early")
     )
-    keep = (F.col("n") - F.floor((plan.percent * F.col("n") + 99) / 100) + 1).cast("int")
-    rare = ranked.select("id", "group", "n", F.explode(F.slice("s", F.lit(1), keep)).alias("e"))
-    rare = rare.where("e.mixed").select("id", "group", "n", F.col("e.shingle").alias("shingle"))
-    left = rare.select("shingle", F.col("id").alias("a"), F.col("group").alias("ga"), F.col("n").alias("na"))
-    right = rare.select("shingle", F.col("id").alias("b"), F.col("group").alias("gb"), F.col("n").alias("nb"))
-    fits = (F.col("a") > F.col("b")) & (F.col("ga") != F.col("gb")) & _alike(F.col("na"), F.col("nb"), plan)
-    return left.join(right, "shingle").where(fits).select("a", "b").distinct()
+    keys, rest = ["ref", "shingle"], ["id", "n", "inside", "group", "early"]
+    left = rare.where("NOT inside").select(*keys, *[F.col(x).alias(f"a_{x}") for x in rest])
+    right = rare.select(*keys, *[F.col(x).alias(f"b_{x}") for x in rest])
+    fits = F.expr("a_group <> b_group AND (b_inside OR (a_early AND b_early AND a_id > b_id))")
+    pairs = left.join(right, keys).where(fits & _alike(F.col("a_n"), F.col("b_n"), plan))
+    pairs = pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    to_ref = far.where("near").select(F.col("id").alias("a"), F.col("ref").alias("b"))
+    return _confirmed(pairs, sets, plan).unionByName(to_ref)
 
 
 def near_duplicates(docs: DataFrame, plan: NearDup = CONTRACT) -> DataFrame:
@@ -203,7 +240,7 @@ def near_duplicates(docs: DataFrame, plan: NearDup = CONTRACT) -> DataFrame:
     )
     links = cut(_confirmed(stars, sets, plan))
     found = cut(components(links))
-    rest = cut(_confirmed(_leftover(members, found, sets, plan), sets, plan))
+    rest = cut(_leftover(members, found, sets, plan))
     final = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
     named = (
         classes.select(*same_set, "id")
