@@ -186,7 +186,9 @@ def scored(docs: DataFrame, labels: DataFrame, plan: Toxicity = PLAN) -> tuple[D
     spark = docs.sparkSession
     marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL")
     marked = marked.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    train = docs.where(~held_out(plan)).select("doc_id", "text").join(marked, "doc_id").select("text", "toxic")
+    # Merge join at every size: labels grow with the corpus and have no bound for a broadcast.
+    train = docs.where(~held_out(plan)).select("doc_id", "text").join(marked.hint("merge"), "doc_id")
+    train = train.select("text", "toxic")
     seen = train.mapInArrow(_count, "label long, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
     found = cut(seen).toArrow()  # at most 2 * 32 ** 4 rows
     counts = np.zeros((2, GRAMS), np.int64)
