@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from noteframe.llm import near_dups, packing, quality, toxicity
+from noteframe.llm import near_dups, packing, quality, sentence_pieces, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,6 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def piece_model() -> str:
+    """The vocabulary file of the queries; the operators take any path."""
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query
+def op1_sentencepiece(spark, sf_dir):
+    return sentence_pieces.digests(sentence_pieces.encoded(table(spark, sf_dir, "documents"), piece_model()))
+
+
 @query
 def op5_quality_rules(spark, sf_dir):
     return quality.quality_counts(table(spark, sf_dir, "documents"))
@@ -39,3 +50,8 @@ def op7_toxicity(spark, sf_dir):
 @query
 def op9_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_token_counts(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), piece_model())
