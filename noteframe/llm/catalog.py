@@ -7,7 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from noteframe.llm import near_dups, packing, quality, sentence_pieces, token_counts, toxicity
+from noteframe.llm import (
+    licences,
+    near_dups,
+    packing,
+    quality,
+    quotes,
+    sentence_pieces,
+    token_counts,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,6 +41,11 @@ def op1_sentencepiece(spark, sf_dir):
     return sentence_pieces.digests(sentence_pieces.encoded(table(spark, sf_dir, "documents"), piece_model()))
 
 
+@query
+def op4_quotation_linking(spark, sf_dir):
+    return quotes.linked(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op5_quality_rules(spark, sf_dir):
     return quality.quality_counts(table(spark, sf_dir, "documents"))
@@ -55,3 +69,8 @@ def op9_best_fit_packing(spark, sf_dir):
 @query
 def op8_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), piece_model())
+
+
+@query
+def op10_license_scans(spark, sf_dir):
+    return licences.scan(table(spark, sf_dir, "documents"))
