@@ -16,6 +16,7 @@ from noteframe.llm import (
     sentence_pieces,
     token_counts,
     toxicity,
+    vectors,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +57,11 @@ def op2_minhash_near_dedup(spark, sf_dir):
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_inverted_multi_index(spark, sf_dir):
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op7_toxicity(spark, sf_dir):
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
