@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from noteframe.llm import (
+    html_text,
     licences,
     near_dups,
     packing,
@@ -42,6 +44,12 @@ def op1_sentencepiece(spark, sf_dir):
     return sentence_pieces.digests(sentence_pieces.encoded(table(spark, sf_dir, "documents"), piece_model()))
 
 
+@query
+def op3_html_extraction(spark, sf_dir):
+    texts = html_text.extract(table(spark, sf_dir, "pages"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query
 def op4_quotation_linking(spark, sf_dir):
     return quotes.linked(table(spark, sf_dir, "conversations"))
