@@ -176,7 +176,7 @@ _CONTAINERS = [("article",), ("main",), ("div", "content"), ("div", "post", "bod
 
 
 def varied(page: list[Block], labels: np.ndarray, pool: list[Block], rng: np.random.Generator) -> tuple[list[Block], np.ndarray]:
-    """The page with another article container and with named boilerplate around and inside the article."""
+    """The page with another article container, repeated lines, and named boilerplate around and inside the article."""
     box = _CONTAINERS[rng.integers(len(_CONTAINERS))]
     names = sorted(OTHER)
     out: list[tuple[Block, float]] = []
@@ -191,13 +191,19 @@ def varied(page: list[Block], labels: np.ndarray, pool: list[Block], rng: np.ran
             some = " ".join(text[at : at + int(rng.integers(1, 60))])
             out.append((((*around, *shown, *leaf), some, len(some) * int(rng.integers(2))), 0.0))
 
-    for block, label in zip(page, labels.tolist(), strict=True):
+    # Articles also repeat short lines; now and then one does so here.
+    own = np.flatnonzero(labels)
+    again = int(rng.choice(own)) if len(own) and rng.random() < 0.3 else -1
+    for k, (block, label) in enumerate(zip(page, labels.tolist(), strict=True)):
         path = block[0]
         if label:
             path = tuple(n for name in path for n in (box if name in ARTICLE else (name,)))
         if rng.random() < 0.12:
             boilerplate(("html", "body", *(box if label else ())))
         out.append(((path, *block[1:]), label))
+        if k == again:
+            short = " ".join(block[1].split()[: int(rng.integers(1, 8))])
+            out += [((path, short, 0), label)] * int(rng.integers(2, 40))
     return [b for b, _ in out], np.array([y for _, y in out])
 
 
