@@ -20,9 +20,9 @@ from noteframe.llm import (
     toxicity,
     vectors,
 )
+from noteframe.llm.oracle import SQL  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 
 
 def query(run):
