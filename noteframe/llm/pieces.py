@@ -148,18 +148,20 @@ class PieceModel:
             points = np.frombuffer(norm.encode("utf-32-le"), np.uint32)
             blank = points == 32
             keep = ~blank | np.concatenate([[False], ~blank[:-1]])
-            if keep.any() and blank[np.flatnonzero(keep)[-1]]:
-                keep[np.flatnonzero(keep)[-1]] = False
             norm = points[keep].tobytes().decode("utf-32-le")
             first, last = first[keep], last[keep]
             if not norm:
                 return "", first, last
-        if self.dummy:
-            zero = np.zeros(1, np.int64) + (len(text.encode()) if self.suffix else 0)
-            norm = norm + " " if self.suffix else " " + norm
-            first, last = ((first, zero), (last, zero)) if self.suffix else ((zero, first), (zero, last))
-            first, last = np.concatenate(first), np.concatenate(last)
-        return norm.replace(" ", self.space), first, last
+        norm = norm.replace(" ", self.space)
+        if self.dummy and not self.suffix:
+            norm, first, last = self.space + norm, np.append(0, first), np.append(0, last)
+        if self.squeeze:
+            norm = norm.rstrip(self.space)
+            first, last = first[: len(norm)], last[: len(norm)]
+        if self.dummy and self.suffix:
+            size = len(text.encode())
+            norm, first, last = norm + self.space, np.append(first, size), np.append(last, size)
+        return norm, first, last
 
     def cuts(self, norm: str, text_starts: np.ndarray) -> np.ndarray:
         """Borders that no piece crosses, from 0 to the end; text starts are borders."""
