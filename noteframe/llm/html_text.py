@@ -138,7 +138,7 @@ def blocks(html: str | None) -> list[Block]:
     return parser.blocks
 
 
-PATH, WORDS, NUMBERS = 128, 64, 4
+PATH, WORDS, NUMBERS = 256, 64, 4
 WIDTH = PATH + WORDS + NUMBERS
 _places: dict[str, int] = {}
 
@@ -198,7 +198,7 @@ def varied(page: list[Block], labels: np.ndarray, pool: list[Block], rng: np.ran
         path = block[0]
         if label:
             path = tuple(n for name in path for n in (box if name in ARTICLE else (name,)))
-        if rng.random() < 0.12:
+        if rng.random() < 0.25:
             boilerplate(("html", "body", *(box if label else ())))
         out.append(((path, *block[1:]), label))
         if k == again:
