@@ -7,16 +7,9 @@ from pyspark.sql import functions as F
 
 from noteframe.session import cut
 
-INLINE_PATTERNS = 32  # up to here patterns become literals of one narrow scan
 GRAM = 3
 
 
-def bounded_values(df: DataFrame, column: str, limit: int = INLINE_PATTERNS) -> list | None:
-    """The distinct values of a small column, or None when there are more than ``limit``."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    return None if len(rows) > limit else [r[0] for r in rows]
-
-
 def runs_of(items, size: int, glue: str = ""):
     """Runs of ``size`` neighbouring items, glued; linear in the array length."""
     out = items
@@ -33,29 +26,15 @@ def _grams(text, size: int):
 
 
 def contains_pairs(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(text_id, pattern) for every text that contains a pattern.
+    """(text_id, pattern) for every text that contains a pattern, for any number of patterns.
 
     ``texts`` is (text_id, text), ``patterns`` is (pattern); both are compared
-    as they are and blank patterns are left out. Few patterns are tested in one
-    scan of the texts. Many patterns are anchored: a text can hold a pattern
+    as they are and blank patterns are left out. Patterns are anchored: a text can hold a pattern
     only if it holds each inner word of it, or each 3-gram where it has no inner
     word. An equi-join on the rarest of these gives the candidates, which are
     then tested.
     """
-    patterns = patterns.select("pattern").where(F.trim("pattern") != "").distinct()
-    few = bounded_values(patterns, "pattern")
-    if few is not None:
-        if not few:
-            return texts.select("text_id", F.lit("").alias("pattern")).where(F.lit(False))
-        hits = F.array_compact(
-            F.array(*[F.when(F.contains(F.col("text"), F.lit(p)), F.lit(p)) for p in few])
-        )
-        return texts.select("text_id", F.explode(hits).alias("pattern"))
-    return anchored_pairs(texts, patterns)
-
-
-def anchored_pairs(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """The anchored route of :func:`contains_pairs`, for any number of patterns."""
+    patterns = patterns.select("pattern").where(F.rlike("pattern", F.lit(r"(?U)\S"))).distinct()
     words = F.split("pattern", r"\s+")
     # Words between the first and the last one stand whole in the text as well.
     inner = F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
@@ -66,17 +45,20 @@ def anchored_pairs(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     def keys(k: int, text, tokens):
         return tokens if k == 0 else _grams(text, k)
 
-    wanted = None
+    wanted = kinded.select("pattern", F.lit("").alias("gram")).where(F.lit(False))
     for k in kinds:
-        part = kinded.where(F.col("kind") == k).select(
-            "pattern", F.explode(F.array_distinct(keys(k, F.col("pattern"), F.col("inner")))).alias("gram")
+        wanted = wanted.union(
+            kinded.where(F.col("kind") == k).select(
+                "pattern", F.explode(F.array_distinct(keys(k, F.col("pattern"), F.col("inner")))).alias("gram")
+            )
         )
-        wanted = part if wanted is None else wanted.union(part)
     # Pattern keys, anchors and candidates are small next to the texts. Written
     # tables have a known size, so Spark broadcasts them exactly when they fit
     # and the texts then stay where they are; else it shuffles both sides.
     wanted = cut(wanted)
     needed = wanted.select("gram").distinct()
+    if not kinds:
+        return texts.select("text_id", F.lit("").alias("pattern")).where(F.lit(False))
     tokens = F.array_distinct(F.split("text", r"\s+"))
     all_keys = F.array_distinct(F.concat(*[keys(k, F.col("text"), tokens) for k in kinds]))
     text_grams = texts.select("text_id", F.explode(all_keys).alias("gram"))

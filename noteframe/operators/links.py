@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noteframe.functions import markdown as md
-from noteframe.operators.skew import HOT_ROWS, spread_join
+from noteframe.operators.skew import spread_join
 from noteframe.session import cut
 
 
@@ -87,13 +87,13 @@ def related_notes(
     seeds: DataFrame,
     hops: int = 2,
     where: Column | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """(seed, path, hop, title, tags) for the undirected neighbourhood.
 
     ``hop`` is the smallest distance. ``where`` filters the result only, so a
-    filtered note still conducts. Each hop is distinct before the next join and
-    is checkpointed, hubs are spread.
+    filtered note still conducts; in the last hop, which conducts nothing, it applies
+    before that hop is made distinct and written. ``hot_rows`` salts hubs, see ``spread_join``.
     """
     directed = edges(links)
     undirected = cut(
@@ -113,8 +113,11 @@ def related_notes(
             hot_rows=hot_rows,
         )
         seen = reduce(DataFrame.union, [r.select("seed", "node") for r in reached])
+        step = step.select("seed", F.col("dst").alias("node"))
+        if where is not None and hop == hops:
+            step = step.join(notes.where(where).select(F.col("path").alias("node")), "node", "left_semi")
         frontier = cut(
-            step.select("seed", F.col("dst").alias("node")).distinct().join(seen, ["seed", "node"], "left_anti")
+            step.distinct().join(seen, ["seed", "node"], "left_anti")
         )
         reached.append(frontier.withColumn("hop", F.lit(hop)))
     found = reduce(DataFrame.union, reached).where(F.col("hop") > 0)

@@ -2,36 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000  # rows of one key that a single task may well take
-SMALL_BYTES = 32 << 20  # an input estimated below this holds no such key
-MAX_HOT_KEYS = 1_024  # size bound of the broadcast list of hot keys
-MAX_SHARES = 4_096
+from noteframe.session import cut
 
 
-def hot_keys(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The heaviest keys with the number of shares each is split into.
 
-    Counts are combined map-side, so the hot key itself costs nothing here. The
-    list holds at most MAX_HOT_KEYS rows by construction; a key that misses it
-    is joined in one share, which is slower and still exact.
-    """
-    shares = F.least(F.ceil(F.col("_n") / hot_rows), F.lit(MAX_SHARES)).cast("int")
-    return (
-        df.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > hot_rows)
-        .orderBy(F.desc("_n"))
-        .limit(MAX_HOT_KEYS)
-        .select(*on, shares.alias("_shares"))
-    )
+def hot_keys(df: DataFrame, on: list[str], hot_rows: int) -> DataFrame:
+    """Every key with more than ``hot_rows`` rows and the number of shares it is split into.
 
-
-def _estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a plan; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    Counts are combined map-side, so a hot key itself costs nothing here. There
+    are fewer than rows / ``hot_rows`` such keys. The list is written: all uses
+    see the same one, and Spark knows its size.
+    """
+    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    return cut(counts.select(*on, F.ceil(F.col("_n") / hot_rows).alias("_shares")))
 
 
 def spread_join(
@@ -40,26 +26,27 @@ def spread_join(
     on: list[str] | str,
     how: str = "inner",
     salt_by: list[str] | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
-    """Equi-join that salts the hot keys of ``big``.
+    """Equi-join that stays balanced when one key of ``big`` holds most rows.
 
-    Rows of a hot key are dealt to shares by a hash of ``salt_by``; the rows of
-    ``small`` with that key are repeated once per share. ``how`` is inner, left,
-    left_semi or left_anti, seen from ``big``. An input the optimizer knows to be
-    small is joined as it is; a wrong estimate costs time, not rows.
+    Without ``hot_rows`` the adaptive planner splits a hot partition (see
+    ``session.tune``). With it, keys of more rows are found first and salted: their rows are dealt to
+    shares by a hash of ``salt_by``, and the rows of ``small`` with that key are
+    repeated once per share. Both give the same rows. ``how`` is inner, left,
+    left_semi or left_anti, seen from ``big``.
     """
     on = [on] if isinstance(on, str) else list(on)
-    if hot_rows >= HOT_ROWS and _estimated_bytes(big) < SMALL_BYTES:
+    if hot_rows is None:
         return big.join(small, on, how)
-    hot = F.broadcast(hot_keys(big.where(_all_set(on)), on, hot_rows))
+    hot = hot_keys(big.where(_all_set(on)), on, hot_rows)
     salted_by = salt_by or [c for c in big.columns if c not in on] or on
-    spread = F.pmod(F.xxhash64(*salted_by), F.col("_shares")).cast("int")
+    spread = F.pmod(F.xxhash64(*salted_by), F.col("_shares"))
     left = big.join(hot, on, "left")
     left = left.withColumn("_salt", F.when(F.col("_shares").isNull(), 0).otherwise(spread)).drop("_shares")
     right = small.join(hot, on, "left")
     right = right.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1))
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_shares", F.lit(1)) - 1))
     ).drop("_shares")
     return left.join(right, on + ["_salt"], how).drop("_salt")
 
@@ -74,19 +61,22 @@ def _all_set(on: list[str]) -> Column:
 def paged_collect(
     rows: DataFrame, keys: list[str], item: Column, page_by: list[str], page_rows: int = 1_000
 ) -> DataFrame:
-    """Nest rows into sorted arrays, split into pages where a key has many.
+    """Nest rows into sorted arrays of at most ``page_rows``, in pages where a key has more.
 
     A key with up to ``page_rows`` rows gives one row with page 0. A heavier key
-    is dealt by hash into enough pages, so no task and no row holds a whole hot
-    group. Nothing is dropped: the pages of a key partition its rows.
+    is dealt by hash into as many shares as it needs pages; a share that comes out
+    larger is continued on further pages, so no row holds more and no task a
+    whole hot group. The pages of a key partition its rows.
     """
     many = hot_keys(rows, keys, page_rows)
-    paged = rows.join(F.broadcast(many), keys, "left")
-    page = F.when(F.col("_shares").isNull(), 0).otherwise(
-        F.pmod(F.xxhash64(*page_by), F.col("_shares")).cast("int")
+    share = F.when(F.col("_shares").isNull(), 0).otherwise(F.pmod(F.xxhash64(*page_by), F.col("_shares")))
+    dealt = rows.join(many, keys, "left").select(
+        *keys, F.coalesce("_shares", F.lit(1)).alias("_shares"), share.alias("_share"), item.alias("_item")
     )
+    place = F.row_number().over(Window.partitionBy(*keys, "_share").orderBy("_item")) - 1
+    page = F.col("_share") + F.floor(place / page_rows) * F.col("_shares")
     return (
-        paged.select(*keys, page.alias("page"), item.alias("_item"))
+        dealt.select(*keys, page.cast("long").alias("page"), "_item")
         .groupBy(*keys, "page")
         .agg(F.sort_array(F.collect_list("_item")).alias("items"))
     )

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteframe.functions import markdown as md
-from noteframe.operators.skew import hot_keys
 from noteframe.plans.tables import NoteTables
 from noteframe.session import cut, fresh_path, tune
 
@@ -26,14 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A table with long texts, dealt over the cores when its file has few splits.
+    """A table with long texts; one of fewer files than cores is dealt over the cores.
 
-    A table with at least as many splits as cores, as any large one, is read as
-    it lies.
+    The rows are the same either way. A large table is read as it lies.
     """
     rows = table(spark, sf_dir, name)
     cores = spark.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+    return rows if len(rows.inputFiles()) >= cores else rows.repartition(cores, key)
 
 
 def guid(*parts) -> Column:
@@ -233,18 +231,11 @@ def _sub_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with their page within the order; one page unless an order is huge."""
+    """Line items with their page within the order, by line number."""
     rows = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus", "l_quantity"
     )
-    many = F.broadcast(hot_keys(rows, ["l_orderkey"], PAGE_LINES))
-    deal = F.pmod(
-        F.col("l_partkey") * 31 + F.col("l_suppkey") * 17 + F.col("l_linenumber") * 7 + F.col("l_quantity").cast("long"),
-        F.col("_shares"),
-    )
-    return rows.join(many, "l_orderkey", "left").withColumn(
-        "page", F.when(F.col("_shares").isNull(), 0).otherwise(deal)
-    )
+    return rows.withColumn("page", F.expr(f"(l_linenumber - 1) div {PAGE_LINES}"))
 
 
 def _meeting_notes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1026,7 +1026,7 @@ def _(spark, sf):
 def _(spark, sf):
     notes = B.document_notes(spark, sf)
     items = B.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return S._lexical_hits(notes, items).select("query_id", "path")
+    return S._lexical_hits(notes, items, "join").select("query_id", "path")
 
 
 @query(
