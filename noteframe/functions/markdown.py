@@ -173,7 +173,7 @@ def folder_of(path: Column) -> Column:
 
 def customer_of(path: Column, root: str) -> Column:
     """Customer name from a path below the customers root, both layouts."""
-    inner = F.regexp_replace(path, "^" + root.replace(".", r"\."), "")
+    inner = F.when(F.startswith(path, F.lit(root)), F.substr(path, F.lit(len(root) + 1))).otherwise(path)
     return F.when(F.contains(inner, F.lit("/")), F.substring_index(inner, "/", 1)).otherwise(
         F.regexp_replace(inner, r"\.(?i:md|markdown|txt)$", "")
     )

@@ -116,10 +116,11 @@ def _main(notes: DataFrame, config: NoteConfig, main: DataFrame | None) -> DataF
 
 
 def _sub_notes(notes: DataFrame, subdir: str, config: NoteConfig, main: DataFrame | None = None) -> DataFrame:
-    pattern = f"^{config.customers_root}[^/]+/{subdir}[^/]+$"
+    root = config.customers_root
+    inner = F.substr(F.col("path"), F.lit(len(root) + 1))
     found = (
-        under(notes, config.customers_root)
-        .where(F.rlike(F.col("path"), F.lit(pattern)))
+        under(notes, root)
+        .where(F.rlike(inner, F.lit(rf"^[^/]+/\Q{subdir}\E[^/]+$")))
         .withColumn("customer", md.customer_of(F.col("path"), config.customers_root))
     )
     return found if main is None else found.join(main.select("customer"), "customer", "left_semi")

@@ -90,7 +90,7 @@ def note_fields(notes: DataFrame) -> DataFrame:
     """
     flat = notes.select("path", "frontmatter").lateralJoin(
         notes.sparkSession.tvf.variant_explode(F.col("frontmatter").outer())
-    ) if hasattr(notes, "lateralJoin") else notes
+    )
     scalar = lambda v: F.when(
         ~F.rlike(fm.kind(v), F.lit("^(ARRAY|OBJECT|VOID)")), F.try_variant_get(v, "$", "string")
     )

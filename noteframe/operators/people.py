@@ -163,7 +163,8 @@ def orphaned_meetings(
     )
     unnamed = spread_join(meetings, roster, "_key", "left_anti", salt_by=["path"])
     if strict:
-        bare = F.regexp_replace(F.regexp_replace("dst", "^Customers/", ""), r"\.md$", "")
+        below = F.when(F.startswith("dst", F.lit(root)), F.substr("dst", F.lit(len(root) + 1))).otherwise(F.col("dst"))
+        bare = F.regexp_replace(below, r"\.md$", "")
         linked = edges(links).select("src", F.lower(bare).alias("_key"))
     else:
         linked = edges(links).where(F.startswith(F.col("dst"), F.lit(root))).select(

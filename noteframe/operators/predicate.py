@@ -80,7 +80,7 @@ def predicate(fields: dict, config: NoteConfig = DEFAULT) -> Column:
 def _order(order_by: str, config: NoteConfig) -> list[Column]:
     """Sort keys: absent first, then days, numbers and text; path breaks ties."""
     down = order_by.startswith("-")
-    name = order_by.lstrip("-") if down else order_by
+    name = order_by.removeprefix("-")
     if name in ("title", "path"):
         text, number = F.col(name), F.lit(None).cast("double")
     else:

@@ -860,7 +860,7 @@ def _(spark, sf):
     return H.freshness_items(B.corpus(spark, sf).notes, AS_OF)
 
 
-@query("health_issues", "SELECT customer, issue FROM issue")
+@query("health_issues", "SELECT customer, kind, count, age_days FROM issue")
 def _(spark, sf):
     t = B.corpus(spark, sf)
     return H.health_issues(H.customer_freshness(t.notes, AS_OF), W.orphaned_meetings(t.notes, t.links))
@@ -872,7 +872,7 @@ def _(spark, sf):
          sum(stale_insights)::BIGINT AS stale_insights, sum(opportunities-with_guid)::BIGINT AS missing_guids,
          sum(milestones-with_id)::BIGINT AS missing_ids, (SELECT count(*) FROM orphan) AS orphaned_meetings,
          (SELECT count(*) FROM cust WHERE k%10=0) AS structural_issues, (SELECT count(*) FROM issue) AS issues,
-         (SELECT count(*) FROM issue)||' issue(s) found across '||(SELECT count(*) FROM cust)||' customers' AS summary
+         (SELECT count(*) FROM issue) = 0 AS healthy
        FROM fresh""",
 )
 def _(spark, sf):
@@ -1050,6 +1050,31 @@ def _content_sql(limit: int) -> str:
         GROUP BY query_id, path, title HAVING sum(hits) > 0 AND count(CASE WHEN hits>0 THEN 1 END) >= ceil(max(terms)/2.0))) WHERE rank <= {limit}"""
 
 
+_BLANKS = [*WORDS, (7, ""), (8, " "), (9, "\n\t"), (10, None)]
+
+
+@query("search_blank", f"SELECT query_id, path, score FROM ({_lexical_sql(10)})")
+def _(spark, sf):
+    asked = spark.createDataFrame(_BLANKS, "query_id int, query string")
+    notes = B.document_notes(spark, sf)
+    scan = S.lexical_search(notes, asked).select("query_id", "path", "score")
+    joined = S.lexical_search(notes, asked, route="join").select("query_id", "path", "score")
+    # Both routes must agree: what only one of them finds would be an extra row.
+    return scan.unionByName(joined.exceptAll(scan))
+
+
+@query("lexical_search_joined", f"SELECT query_id, path, title, excerpt, score, rank FROM ({_lexical_sql(10)})")
+def _(spark, sf):
+    rows = S.lexical_search(B.document_notes(spark, sf), _queries(spark), route="join")
+    return rows.select("query_id", "path", "title", "excerpt", "score", "rank")
+
+
+@query("content_search_joined", f"SELECT query_id, path, title, round(score, 6) AS score, rank FROM ({_content_sql(10)})")
+def _(spark, sf):
+    rows = S.content_search(B.document_notes(spark, sf), _queries(spark), route="join")
+    return rows.select("query_id", "path", "title", F.round("score", 6).alias("score"), "rank")
+
+
 @query("content_search", f"SELECT query_id, path, title, round(score, 6) AS score, rank FROM ({_content_sql(10)})")
 def _(spark, sf):
     rows = S.content_search(B.document_notes(spark, sf), _queries(spark))
@@ -1231,7 +1256,7 @@ def _(spark, sf):
 @query(
     "edit_audit",
     f"""SELECT CASE op WHEN 'append' THEN 'atomic_append' WHEN 'replace' THEN 'atomic_replace' ELSE 'create_note' END AS operation, path,
-          CASE op WHEN 'append' THEN 'append to §'||heading WHEN 'replace' THEN 'full replace' ELSE 'created new note' END AS detail
+          CASE op WHEN 'append' THEN 'append: '||heading WHEN 'replace' THEN 'whole note' ELSE 'new note' END AS detail
         FROM {_RESULTS} WHERE status IN ('executed', 'created')""",
 )
 def _(spark, sf):
@@ -1266,12 +1291,36 @@ def _(spark, sf):
     return X.promote(B.corpus(spark, sf).notes, _findings(spark, sf), AS_OF)
 
 
+@query(
+    "promote_audit",
+    """SELECT 'promote_findings' AS operation, cpath AS path, 'append: '||CASE okey%3 WHEN 1 THEN 'Agent Insights' ELSE 'Connect Hooks' END AS detail
+       FROM meet WHERE okey%3<>0 AND okey%11<>0""",
+)
+def _(spark, sf):
+    promoted = X.promote(B.corpus(spark, sf).notes, _findings(spark, sf), AS_OF)
+    return X.promote_audit(promoted, "2001-08-02 00:00:00").select("operation", "path", "detail")
+
+
+@query(
+    "promoted_notes",
+    """SELECT c.path, s.section AS heading, string_agg('- 2001-08-01 found '||okey, chr(10) ORDER BY okey) AS lines
+       FROM cust c JOIN meet m ON m.cpath = c.path,
+         (SELECT unnest(['Agent Insights', 'Connect Hooks']) AS section, unnest([1, 2]) AS r) s
+       WHERE okey%11<>0 AND okey%3 = s.r GROUP BY c.path, s.section""",
+)
+def _(spark, sf):
+    t = B.corpus(spark, sf)
+    after = X.promoted_notes(t.notes, X.promote(t.notes, _findings(spark, sf), AS_OF), "2001-08-02 00:00:00")
+    pieces = after.select("path", F.explode(md.section_pieces(F.col("raw"))).alias("p"))
+    lines = F.regexp_extract_all(F.col("p.content"), F.lit(r"(?m)^- 2001-08-01 found \d+$"), F.lit(0))
+    found = pieces.select("path", F.col("p.heading").alias("heading"), F.array_join(lines, "\n").alias("lines"))
+    return found.where("lines <> ''")
+
+
 @query(
     "edit_preview",
-    """SELECT 'd'||doc_id AS edit_id, '## Proposed Write — replace'||chr(10)||chr(10)||'**Action:** Update existing note'||chr(10)||
-         '**Path:** `'||source||'/'||doc_id||'.md`'||chr(10)||chr(10)||'**Content preview:**'||chr(10)||chr(10)||
-         CASE WHEN length(text)>1000 THEN substring(text,1,1000)||chr(10)||chr(10)||'*... ('||length(text)||' chars total)*' ELSE text END
-         ||chr(10)||chr(10)||'Reply **confirm** to execute, or describe changes you want made.' AS preview FROM documents""",
+    """SELECT 'd'||doc_id AS edit_id, source||'/'||doc_id||'.md' AS path, 'replace' AS op, true AS existing,
+         substring(text, 1, 1000) AS shown, greatest(length(text) - 1000, 0) AS hidden_chars FROM documents""",
 )
 def _(spark, sf):
     notes = B.document_notes(spark, sf)
@@ -1279,7 +1328,7 @@ def _(spark, sf):
     edits = notes.select(
         F.concat(F.lit("d"), name).alias("edit_id"), "path", F.lit("replace").alias("op"), F.col("body").alias("content")
     )
-    return X.edit_preview(edits, notes).select("edit_id", "preview")
+    return X.edit_preview(edits, notes)
 
 
 @query(
@@ -1321,16 +1370,56 @@ def _(spark, sf):
     return X.decide(*_pending(spark, sf)).select("edit_id", "path", "status")
 
 
+_WRITES = """(SELECT event_id AS seq, 'user/'||user_id||'.md' AS path,
+         CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'append' ELSE 'overwrite' END AS action,
+         props AS content FROM events WHERE event_id%4=0 AND event_id%16<>0
+       UNION ALL SELECT event_id, 'old/user/'||user_id||'.md', 'delete', NULL
+         FROM events WHERE event_id%4=0 AND event_id%16<>0 AND event_type='signup')"""
+
+
 @query(
     "decided_writes",
-    """SELECT 'user/'||user_id||'.md' AS path, CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'append' ELSE 'overwrite' END AS action,
-         props AS content FROM events WHERE event_id%4=0 AND event_id%16<>0
-       UNION ALL SELECT 'old/user/'||user_id||'.md', 'delete', NULL FROM events WHERE event_id%4=0 AND event_id%16<>0 AND event_type='signup'""",
+    f"SELECT * FROM {_WRITES}",
 )
 def _(spark, sf):
     return X.decided_writes(X.decide(*_pending(spark, sf)))
 
 
+@query(
+    "decided_audit",
+    """SELECT event_type AS operation, 'user/'||user_id||'.md' AS path,
+         CASE event_type WHEN 'signup' THEN 'move: old/user/'||user_id||'.md' WHEN 'error' THEN 'append' ELSE 'overwrite' END AS detail
+       FROM events WHERE event_id%4=0 AND event_id%16<>0""",
+)
+def _(spark, sf):
+    return X.decided_audit(X.decide(*_pending(spark, sf)), "2024-02-01 00:00:00").select("operation", "path", "detail")
+
+
+@query(
+    "applied_decisions",
+    f"""WITH w AS (SELECT * FROM {_WRITES}),
+       base AS (SELECT DISTINCT 'user/'||user_id||'.md' AS path, 'first '||user_id AS raw FROM events WHERE user_id%2=0
+         UNION SELECT DISTINCT 'old/user/'||user_id||'.md', 'old' FROM events),
+       fixed AS (SELECT path, max(seq) AS s, arg_max(action, seq) AS action, arg_max(coalesce(content, ''), seq) AS text
+         FROM w WHERE action <> 'append' GROUP BY path),
+       tails AS (SELECT w.path, string_agg(content, '' ORDER BY seq) AS tail FROM w LEFT JOIN fixed USING (path)
+         WHERE w.action = 'append' AND seq > coalesce(s, -1) GROUP BY w.path)
+       SELECT path, coalesce(CASE WHEN f.path IS NOT NULL THEN CASE WHEN f.action = 'delete' THEN '' ELSE text END ELSE raw END, '')
+         || coalesce(tail, '') AS raw
+       FROM base FULL JOIN fixed f USING (path) FULL JOIN tails USING (path)
+       WHERE NOT coalesce(f.action = 'delete' AND tail IS NULL, false)""",
+)
+def _(spark, sf):
+    users = B.table(spark, sf, "events").select("user_id").distinct()
+    user = F.concat(F.lit("user/"), F.col("user_id").cast("string"), F.lit(".md"))
+    long_ago = F.lit("2000-01-01 00:00:00").cast("timestamp").alias("mtime")
+    notes = users.where("user_id % 2 = 0").select(
+        user.alias("path"), F.concat(F.lit("first "), F.col("user_id").cast("string")).alias("raw"), long_ago
+    ).union(users.select(F.concat(F.lit("old/"), user), F.lit("old"), long_ago))
+    writes = X.decided_writes(X.decide(*_pending(spark, sf)))
+    return X.apply_writes(notes, writes, "2024-02-01 00:00:00").select("path", "raw")
+
+
 # Audit, increments and streams ---------------------------------------------
 
 

@@ -162,14 +162,11 @@ _CTE = {
         LEFT JOIN (SELECT customer, count(*) AS n, count(coalesce(id, number)) AS g FROM ms GROUP BY 1) m ON m.customer = c.n
         LEFT JOIN (SELECT DISTINCT customer FROM team WHERE head='Team') t ON t.customer = c.n""",
     "issue": """
-        SELECT customer, customer||': '||stale_insights||' stale Agent Insight(s) (oldest: '||first_stale_days||'d)' AS issue
-          FROM fresh WHERE stale_insights > 0
-        UNION ALL SELECT customer, customer||': '||(opportunities-with_guid)||' opportunity(ies) missing GUIDs'
-          FROM fresh WHERE opportunities > with_guid
-        UNION ALL SELECT customer, customer||': '||(milestones-with_id)||' milestone(s) missing IDs'
-          FROM fresh WHERE milestones > with_id
-        UNION ALL SELECT customer, customer||': no ## Team section' FROM fresh WHERE NOT has_team
-        UNION ALL SELECT NULL, count(*)||' meeting(s) not linked to tracked customers' FROM orphan HAVING count(*) > 0""",
+        SELECT customer, 'stale_insights' AS kind, stale_insights AS count, first_stale_days::BIGINT AS age_days FROM fresh WHERE stale_insights > 0
+        UNION ALL SELECT customer, 'missing_guid', opportunities - with_guid, NULL FROM fresh WHERE opportunities > with_guid
+        UNION ALL SELECT customer, 'missing_id', milestones - with_id, NULL FROM fresh WHERE milestones > with_id
+        UNION ALL SELECT customer, 'no_team', 1, NULL FROM fresh WHERE NOT has_team
+        UNION ALL SELECT NULL, 'orphaned_meetings', count(*), NULL FROM orphan HAVING count(*) > 0""",
     "ids": """
         SELECT n AS customer, 'tpid' AS kind, coalesce(tpid, CASE WHEN k%4=1 THEN '9'||k END) AS value FROM cust
           WHERE coalesce(tpid, CASE WHEN k%4=1 THEN '9'||k END) IS NOT NULL

@@ -22,8 +22,9 @@ CORE = [
     "customer_meetings", "query_notes_or", "query_notes_order", "frontmatter_lookup", "resolve_titles", "resolved_links",
     "related_filtered", "similar_customers", "open_items", "correlate_person", "corpus_stats", "folder_counts",
     "customer_freshness", "prefetch_filters", "lexical_search", "lexical_search_bulk", "search_broad", "edit_results",
-    "edit_append", "promote_routing", "debounced_changes",
+    "edit_append", "promote_routing", "debounced_changes", "health_issues", "search_blank", "applied_decisions", "promoted_notes",
 ]
+EMPTY = {"query_notes_strict"}  # a literal of another type matches nothing
 NAMES = list(CATALOG) if os.environ.get("NOTEFRAME_ALL") else CORE
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
@@ -38,7 +39,7 @@ def con():
 def test_query_equals_sql(spark, con, name):
     problem, count = compare(spark, con, CATALOG[name], SF)
     assert problem is None
-    assert count > 0
+    assert count > 0 or name in EMPTY
 
 
 def test_entry_point_lists_match():
