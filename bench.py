@@ -46,6 +46,16 @@ HEADLINE = [
     "promote_routing",
     "incremental_diff",
     "latest_state",
+    "resolved_links",
+    "similar_customers",
+    "overview",
+    "health_report",
+    "runtime_health",
+    "correlate_person",
+    "correlate_customer",
+    "debounced_changes",
+    "applied_decisions",
+    "promoted_notes",
 ]
 
 

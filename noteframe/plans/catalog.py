@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noteframe.functions import frontmatter as fm
@@ -26,7 +26,8 @@ from noteframe.operators import validate as V
 from noteframe.plans import bindings as B
 from noteframe.plans.oracle import AS_OF as DAY
 from noteframe.plans.oracle import with_prelude
-from noteframe.sources import audit, files
+from noteframe.session import fresh_path
+from noteframe.sources import audit, files, snapshots
 from noteframe.streaming import changes
 
 AS_OF = B.AS_OF
@@ -383,6 +384,23 @@ def _(spark, sf):
     return rows.select("path", "title", joined("tags"))
 
 
+@query("query_notes_folder_field", f"SELECT path, title, {_TAGS} FROM notes WHERE path LIKE 'People/%' AND list_contains(tags, 'internal')")
+def _(spark, sf):
+    return _select(spark, sf, where={"folder": "People/", "tags": "internal"})
+
+
+@query(
+    "query_notes_order_all",
+    """SELECT path, row_number() OVER (ORDER BY date IS NOT NULL, try_cast(date AS DATE) NULLS FIRST, path) AS place
+       FROM meet QUALIFY place <= 2000""",
+)
+def _(spark, sf):
+    # Missing, malformed and real days together, rising.
+    found = Q.query_notes(B.corpus(spark, sf).notes, Q.QueryOptions(where={"tags": "meeting"}, order_by="date", limit=2000))
+    ordered = found.withColumn("_at", F.monotonically_increasing_id())
+    return ordered.select("path", F.row_number().over(Window.orderBy("_at")).alias("place"))
+
+
 @query("notes_by_folder", "SELECT source||'/'||doc_id||'.md' AS path FROM documents WHERE source = 'src1'")
 def _(spark, sf):
     return Q.notes_by_folder(B.document_notes(spark, sf), "src1/").select("path")
@@ -522,6 +540,23 @@ def _(spark, sf):
     return L.related_notes(t.links, t.notes, E.customer_notes(t.notes), 2).select("seed", "path", "hop")
 
 
+@query(
+    "related_2hop_salted",
+    f"""WITH u AS {_UNDIRECTED}, one AS (SELECT s.path AS seed, u.b AS path FROM cust s JOIN u ON u.a = s.path),
+         two AS (SELECT DISTINCT o.seed, u.b AS path FROM one o JOIN u ON u.a = o.path)
+       SELECT seed, path, min(hop) AS hop FROM (
+         SELECT seed, path, 1 AS hop FROM one UNION ALL SELECT seed, path, 2 FROM two) WHERE seed <> path GROUP BY 1, 2""".replace(
+        "WITH u AS", "SELECT * FROM (WITH u AS"
+    )
+    + ")",
+)
+def _(spark, sf):
+    t = B.corpus(spark, sf)
+    # Notes with more than 40 links are hubs here, so the salted join runs.
+    found = L.related_notes(t.links, t.notes, E.customer_notes(t.notes), 2, hot_rows=40)
+    return found.select("seed", "path", "hop")
+
+
 @query(
     "related_filtered",
     f"""SELECT * FROM (WITH u AS {_UNDIRECTED}, one AS (SELECT s.path AS seed, u.b AS path FROM supp s JOIN u ON u.a = s.path),
@@ -613,6 +648,18 @@ def _(spark, sf):
     return W.open_items(t.notes, t.links, t.tasks, customers_of(t), AS_OF)
 
 
+@query("open_items_assignee", "SELECT customer, path, ordinal, text, assignee FROM open_item WHERE lower(assignee) = 'supplier_1'")
+def _(spark, sf):
+    t = B.corpus(spark, sf)
+    return W.open_items(t.notes, t.links, t.tasks, customers_of(t), AS_OF, "SUPPLIER_1")
+
+
+@query("orphaned_meetings_strict", "SELECT path FROM orphan")
+def _(spark, sf):
+    t = B.corpus(spark, sf)
+    return W.orphaned_meetings(t.notes, t.links, strict=True)
+
+
 @query("orphaned_meetings", "SELECT path FROM orphan")
 def _(spark, sf):
     t = B.corpus(spark, sf)
@@ -737,6 +784,19 @@ def _(spark, sf):
     return R.correlate_meeting(B.corpus(spark, sf).notes, _entities(spark, sf))
 
 
+@query(
+    "correlate_meeting_range",
+    """SELECT DISTINCT 'meeting:ORDER 1'||d.day AS entity_id, v.kind, CASE v.kind WHEN 'note' THEN m.path ELSE m.customer END AS value,
+         'fuzzy' AS confidence
+       FROM (SELECT DISTINCT day FROM meet WHERE day LIKE '%-01') d
+       JOIN meet m ON (m.date IS NULL OR m.date BETWEEN '1996-01-01' AND '1996-02-15') AND contains(lower(m.title), 'order 1')
+       CROSS JOIN (VALUES ('note'), ('customer')) v(kind) WHERE v.kind='note' OR m.customer IS NOT NULL""",
+)
+def _(spark, sf):
+    first_days = _entities(spark, sf).where("type = 'meeting' AND date LIKE '%-01'")
+    return R.correlate_meeting(B.corpus(spark, sf).notes, first_days, ("1996-01-01", "1996-02-15"))
+
+
 @query("correlate_opportunity", _MATCH["opportunity"])
 def _(spark, sf):
     return R.correlate_opportunity(B.corpus(spark, sf).notes, _entities(spark, sf))
@@ -932,6 +992,19 @@ def _(spark, sf):
     return C.nest_context(rows).select("customer", "part", "page", F.size("items").alias("items"), keys.alias("keys"))
 
 
+@query(
+    "customer_context_pages",
+    f"""SELECT customer, part, count(*) AS items, true AS bounded FROM ({_CONTEXT_ROWS}) GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    # Pages of three rows: most customers have several, none holds more.
+    t = B.corpus(spark, sf)
+    rows = C.customer_context(t, None, AS_OF).where("part <> 'note'")
+    size = F.size("items")
+    pages = C.nest_context(rows, page_rows=3).groupBy("customer", "part")
+    return pages.agg(F.sum(size).alias("items"), (F.max(size) <= 3).alias("bounded"))
+
+
 @query(
     "customer_context_brief",
     f"""SELECT customer, part, count(*) AS items FROM (
@@ -1462,6 +1535,57 @@ def _(spark, sf):
     return changes.latest_state(B.file_events(spark, sf))
 
 
+@query(
+    "audit_round_trip",
+    """SELECT ts, ts::DATE AS log_date, CASE WHEN value >= 10 THEN 'gated' ELSE 'auto' END AS tier, event_type AS operation,
+         'user/'||user_id||'.md' AS path, props AS detail FROM events""",
+)
+def _(spark, sf):
+    log, place = B.event_log(spark, sf), fresh_path(spark, "log")
+    audit.append_log(log.where("operation = 'click'"), place)
+    audit.append_log(log.where("operation IS DISTINCT FROM 'click'"), place)
+    return audit.read_log(spark, place)
+
+
+@query("snapshot_round_trip", f"SELECT path, title, {_TAGS} FROM notes")
+def _(spark, sf):
+    place = fresh_path(spark, "snapshot")
+    snapshots.save_snapshot(spark, place, B.corpus(spark, sf).notes, L.resolve_links)
+    return snapshots.load_snapshot(spark, place)[0].select("path", "title", joined("tags"))
+
+
+@query(
+    "note_errors",
+    """SELECT 'c/'||c_custkey||'.md' AS path, 'frontmatter is not valid YAML' AS reason FROM customer WHERE c_custkey % 3 = 0""",
+)
+def _(spark, sf):
+    key = F.col("c_custkey").cast("string")
+    broken = F.when(F.col("c_custkey") % 3 == 0, "---\ntags: [a\n---\n# x\n").when(F.col("c_custkey") % 3 == 1, "---\na: 1\n---\n# x\n")
+    raw = B.table(spark, sf, "customer").select(
+        F.concat(F.lit("c/"), key, F.lit(".md")).alias("path"),
+        broken.otherwise("# no frontmatter\n").alias("raw"),
+        F.lit("2001-01-01 00:00:00").cast("timestamp").alias("mtime"),
+        F.lit(1).cast("long").alias("length"),
+    )
+    return P.note_errors(raw)
+
+
+@query(
+    "debounced_bursts",
+    """SELECT path, min(ts) AS start, max(ts) AS ts, arg_max(event, (ts, event_id)) AS event FROM (
+         SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS burst FROM (
+           SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 300 MILLISECOND OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh
+           FROM (SELECT 'user/'||user_id||'.md' AS path, make_timestamp(epoch_us(ts) // 3600 // 1000 * 1000) AS ts, event_id,
+             CASE event_type WHEN 'signup' THEN 'add' WHEN 'error' THEN 'unlink' ELSE 'change' END AS event FROM events)
+           WINDOW w AS (PARTITION BY path ORDER BY ts, event_id)))
+       GROUP BY path, burst""",
+)
+def _(spark, sf):
+    # The events come 3,600 times as fast, in whole milliseconds: bursts and ties for the real gap.
+    fast = F.timestamp_micros(F.expr("unix_micros(cast(ts AS timestamp)) div 3600 div 1000 * 1000")).cast("timestamp_ntz")
+    return changes.debounce(B.file_events(spark, sf).withColumn("ts", fast))
+
+
 @query(
     "debounced_changes",
     """SELECT path, min(ts) AS start, max(ts) AS ts, arg_max(event, ts) AS event FROM (

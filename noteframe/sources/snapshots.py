@@ -6,10 +6,12 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from noteframe.schemas import NOTE_LINKS, NOTES
 
 FORMAT_VERSION = 1
+STORED_NOTES = StructType([*NOTES.fields, StructField("root", StringType())])
 _POINTER = "_current"
 
 
@@ -64,6 +66,6 @@ def load_snapshot(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]
     if {f.name: f.dataType for f in found.schema} != {f.name: f.dataType for f in NOTES}:
         return None
     return (
-        spark.read.parquet(f"{current['data']}/notes"),
+        spark.read.schema(STORED_NOTES).parquet(f"{current['data']}/notes"),
         spark.read.schema(NOTE_LINKS).parquet(f"{current['data']}/links"),
     )

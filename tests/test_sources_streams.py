@@ -116,6 +116,31 @@ def test_stream_refresh_equals_batch(spark):
     assert [(r.src, r.dst) for r in second.links.collect()] == [("a.md", "b.md")]
 
 
+def test_stream_refresh_drops_notes_without_a_file(spark):
+    root, store, ckpt = folder("shrinking"), folder("store2"), folder("ckpt2")
+    write(root, "a.md", "# A\n[[Bee]]\n")
+    write(root, "b.md", "# Bee\n")
+    listing = lambda s: files.read_notes(s, root).select("path")
+    run = lambda: changes.stream_refresh(files.stream_notes(spark, root), store, ckpt, listing=listing).awaitTermination(120)
+    assert run()
+    assert {r.path for r in NoteTables.load(spark, store).notes.collect()} == {"a.md", "b.md"}
+    os.remove(os.path.join(root, "b.md"))
+    time.sleep(1.1)
+    write(root, "c.md", "# Sea\n")
+    assert run()
+    after = NoteTables.load(spark, store)
+    batch = NoteTables.from_raw(files.read_notes(spark, root))
+    assert {r.path for r in after.notes.collect()} == {r.path for r in batch.notes.collect()} == {"a.md", "c.md"}
+    assert [(r.src, r.dst) for r in after.links.collect()] == [("a.md", None)]
+
+
+def test_other_files_are_not_opened(spark):
+    root = folder("mixed")
+    for name in ("a.MD", "b.markdown", "c.txt", "d.pdf", "md"):
+        write(root, name, "# x\n")
+    assert {r.path for r in files.read_notes(spark, root).collect()} == {"a.MD", "b.markdown", "c.txt"}
+
+
 def test_apply_changes_replaces_and_removes(spark, garden, garden_raw):
     changed = spark.createDataFrame(
         [("People/bo.md", "# Early\n", 1, "2024-07-01"), ("People/bo.md", "# Late\n", 1, "2024-07-02")],
