@@ -39,10 +39,11 @@ def _read_pointer(spark: SparkSession, root: str) -> dict | None:
     return json.loads(row[0]) if row else None
 
 
-def save_snapshot(spark: SparkSession, root: str, notes: DataFrame, resolve) -> int:
+def save_snapshot(spark: SparkSession, root: str, notes: DataFrame, resolve, derive: dict | None = None) -> int:
     """Write a new version beside the old one, then move the pointer to it.
 
-    ``resolve`` turns the written notes into links, so the parse runs once.
+    ``resolve`` turns the written notes into links, so the parse runs once;
+    ``derive`` names further tables and how they follow from the written notes.
     """
     current = _read_pointer(spark, root)
     version = (current["version"] if current else 0) + 1
@@ -52,7 +53,10 @@ def save_snapshot(spark: SparkSession, root: str, notes: DataFrame, resolve) ->
     notes.withColumn("root", top).write.mode("overwrite").partitionBy("root").parquet(f"{data}/notes")
     written = spark.read.parquet(f"{data}/notes")
     resolve(written).write.mode("overwrite").parquet(f"{data}/links")
-    pointer = json.dumps({"version": version, "format": FORMAT_VERSION, "data": data})
+    derive = derive or {}
+    for name, make in derive.items():
+        make(written).write.mode("overwrite").parquet(f"{data}/{name}")
+    pointer = json.dumps({"version": version, "format": FORMAT_VERSION, "data": data, "derived": sorted(derive)})
     spark.range(1).select(F.lit(pointer)).write.mode("overwrite").text(f"{root}/{_POINTER}/v={version}")
     return version
 
@@ -69,3 +73,9 @@ def load_snapshot(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]
         spark.read.schema(STORED_NOTES).parquet(f"{current['data']}/notes"),
         spark.read.schema(NOTE_LINKS).parquet(f"{current['data']}/links"),
     )
+
+
+def load_derived(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The derived tables of the current version by name."""
+    current = _read_pointer(spark, root) or {}
+    return {name: spark.read.parquet(f"{current['data']}/{name}") for name in current.get("derived", [])}
