@@ -40,14 +40,16 @@ def in_degrees(links: DataFrame) -> DataFrame:
 
 def most_linked(notes: DataFrame, links: DataFrame, n: int = 10) -> DataFrame:
     """Top notes by distinct linking notes; unlinked notes count as zero."""
-    ranked = notes.select("path", "title").join(
-        in_degrees(links).withColumnRenamed("dst", "path"), "path", "left"
-    )
-    return (
-        ranked.select("path", "title", F.coalesce("in_degree", F.lit(0)).alias("in_degree"))
-        .orderBy(F.desc("in_degree"), "path")
-        .limit(n)
-    )
+    best = lambda rows: rows.orderBy(F.desc("in_degree"), "path").limit(n)
+    # The linked notes are ranked before any note is read; a link may point at a note that is gone.
+    degrees = in_degrees(links).withColumnRenamed("dst", "path")
+    known = notes.select("path", "title")
+    linked = best(degrees.join(known.select("path"), "path", "left_semi"))
+    # Unlinked notes only fill up; the first n by path are enough.
+    zero = F.lit(0).cast("long").alias("in_degree")
+    unlinked = best(known.select("path").join(degrees.select("path"), "path", "left_anti").select("path", zero))
+    top = best(linked.unionByName(unlinked))
+    return top.join(known, "path").select("path", "title", "in_degree").orderBy(F.desc("in_degree"), "path")
 
 
 def folder_counts(notes: DataFrame) -> DataFrame:

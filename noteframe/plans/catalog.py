@@ -786,15 +786,19 @@ def _(spark, sf):
 
 @query(
     "correlate_meeting_range",
-    """SELECT DISTINCT 'meeting:ORDER 1'||d.day AS entity_id, v.kind, CASE v.kind WHEN 'note' THEN m.path ELSE m.customer END AS value,
+    """SELECT DISTINCT 'meeting:'||e.name AS entity_id, v.kind, CASE v.kind WHEN 'note' THEN m.path ELSE m.customer END AS value,
          'fuzzy' AS confidence
-       FROM (SELECT DISTINCT day FROM meet WHERE day LIKE '%-01') d
-       JOIN meet m ON (m.date IS NULL OR m.date BETWEEN '1996-01-01' AND '1996-02-15') AND contains(lower(m.title), 'order 1')
+       FROM (SELECT DISTINCT 'Order '||left(okey::VARCHAR, 2) AS name FROM meet) e
+       JOIN meet m ON (m.date IS NULL OR m.date BETWEEN '1996-01-01' AND '1996-12-31') AND contains(lower(m.title), lower(e.name))
        CROSS JOIN (VALUES ('note'), ('customer')) v(kind) WHERE v.kind='note' OR m.customer IS NOT NULL""",
 )
 def _(spark, sf):
-    first_days = _entities(spark, sf).where("type = 'meeting' AND date LIKE '%-01'")
-    return R.correlate_meeting(B.corpus(spark, sf).notes, first_days, ("1996-01-01", "1996-02-15"))
+    key = F.col("o_orderkey").cast("string")
+    names = B.table(spark, sf, "orders").select(F.concat(F.lit("Order "), F.substring(key, 1, 2)).alias("name")).distinct()
+    wanted = names.select(
+        F.concat(F.lit("meeting:"), "name").alias("entity_id"), "name", F.lit("meeting").alias("type"), F.lit(None).cast("string").alias("date")
+    )
+    return R.correlate_meeting(B.corpus(spark, sf).notes, wanted, ("1996-01-01", "1996-12-31"))
 
 
 @query("correlate_opportunity", _MATCH["opportunity"])
