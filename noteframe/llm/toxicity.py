@@ -1,14 +1,21 @@
-"""Toxic documents by two Kneser-Ney character models with shared backoff.
+"""Toxic documents by expressions of whole words and two Kneser-Ney character models.
 
-Letters fold to an alphabet of 32 symbols (0 parts words), so that a stem is known under
+Expressions are runs of one to three whole words of any script; where a script puts no blanks, its
+characters are the words. The documents of each class that hold an expression are counted in
+tables as large as the corpus asks, and the distinct expressions of every text are joined to
+them. The share of toxic documents is drawn towards that of the whole training set, so that
+a rare expression says little; an expression counts from ``least`` on, and a document has its
+strongest. A bit table drops most rows that cannot join before they are moved; it decides nothing.
+
+The character models tell new endings of a known stem. Letters fold to an alphabet of 32 symbols (0 parts words), so that a stem is known under
 any ending and the 4-gram counts of a class are a dense array of 32 ** 4 entries whatever the
 corpus. Counts come from every labelled training text. The top order is counted per
 class; lower orders are continuation counts pooled over both classes, so that rare
 expressions back off to the same probabilities. A word's evidence is its toxic minus its
-ordinary log-likelihood over its length; a document is read off its strongest word and
-its mean, through a logistic fit on training rows.
+ordinary log-likelihood over its length; a document is read off its strongest expression, its strongest word and its mean,
+through a logistic fit on training rows, whose own document does not count as evidence for them.
 
-Defined results: null and empty texts have no evidence (both features 0) and get a
+Defined results: null and empty texts have no evidence (all features 0) and get a
 score like others; rows without ``doc_id`` are scored and never train; of repeated labels of one
 document the highest counts, null labels do not count; without toxic training rows every
 score is 0, without ordinary ones 1; other columns are ignored or carried along.
@@ -31,13 +38,18 @@ from noteframe.session import cut
 ORDER = 4
 SYMBOLS = 32
 CHUNK_CHARS = 1 << 19
+WORDS = 3
+_NO_BLANKS = "".join(rf"\p{{Is{s}}}" for s in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
+WORD = rf"[{_NO_BLANKS}]|[\p{{L}}\p{{M}}\p{{N}}&&[^{_NO_BLANKS}]]+"
 GRAMS = SYMBOLS**ORDER
 
 
 @dataclass(frozen=True)
 class Toxicity:
     discount: float = 0.75
-    fit_rows: int = 20_000  # bound of the labelled rows that the two logistic weights are fitted on
+    fit_rows: int = 20_000  # bound of the labelled rows that the three logistic weights are fitted on
+    shrink: float = 5.0  # documents of the usual toxic share that every expression starts with
+    least: float = 0.7  # log of how far an expression raises the toxic share before it counts
     folds: int = 5  # rows whose crc32(doc_id) is 0 modulo this never train
 
 
@@ -178,8 +190,130 @@ def _features(table: np.ndarray, spark):
     return features
 
 
-def scored(docs: DataFrame, labels: DataFrame, plan: Toxicity = PLAN) -> tuple[DataFrame, Callable, Column]:
-    """Narrow scores of all documents, the feature function and the score over its struct ``f``.
+def hashed_words(text: Column) -> Column:
+    """Hashes of the words of a text, in order."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def expressions(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of one to WORDS words, and the row of each."""
+    own = words.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    owner = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
+    found, rows, run = [own], [owner], own
+    for k in range(1, min(WORDS, len(own))):
+        run = run[:-1] * np.uint64(0x9E3779B97F4A7C15) + own[k:]
+        run = (run ^ (run >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        inside = owner[:-k] == owner[k:]
+        found.append(run[inside])
+        rows.append(owner[k:][inside])
+    return np.concatenate(found).view(np.int64), np.concatenate(rows)
+
+
+_CHUNK_BITS = 18
+PROBES = (12, 30, 46)  # where a hash holds its three places in the chunk that its low bits name
+
+
+def _distinct(words: pa.Array, bits: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct expressions of each row that may be in the bit table."""
+    gram, row = expressions(words)
+    if bits is not None:
+        part = gram & (len(bits) - 1)
+        for shift in PROBES:
+            at = (gram >> shift) & ((1 << _CHUNK_BITS) - 1)
+            may = (bits[part, at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            gram, row, part = gram[may], row[may], part[may]
+    order = np.lexsort((gram, row))
+    gram, row = gram[order], row[order]
+    first = np.ones(len(gram), bool)
+    first[1:] = (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])
+    return gram[first], row[first]
+
+
+def _documents_with(texts: DataFrame, bits=None) -> DataFrame:
+    """``gram, n``: rows of ``texts`` that hold each expression."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, len(batch), 1_000):
+                gram, _ = _distinct(batch.column(0).slice(k, 1_000), bits and bits.value)
+                gram, n = np.unique(gram, return_counts=True)
+                for j in range(0, len(gram), 50_000):
+                    part = slice(j, j + 50_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(gram[part]), pa.array(n[part])], ["gram", "n"])
+
+    counts = texts.select(hashed_words(F.col("text")).alias("w")).mapInArrow(run, "gram long, n long")
+    return counts.groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def _bit_table(grams: DataFrame):
+    """Broadcast bits of ``gram``: about 16 a row, at most 2 ** 28 (32 MB) at any corpus size."""
+    size = 1 << int(np.clip(int(16 * grams.count()).bit_length(), _CHUNK_BITS, 28))
+    chunks = size >> _CHUNK_BITS
+
+    def chunk(table: pa.Table) -> pa.Table:
+        on, gram = np.zeros(1 << _CHUNK_BITS, np.uint8), table["gram"].to_numpy()
+        for shift in PROBES:
+            on[(gram >> shift) & ((1 << _CHUNK_BITS) - 1)] = 1
+        packed = np.packbits(on, bitorder="little").tobytes()
+        return pa.table({"part": pa.array([int(gram[0]) & (chunks - 1)]), "bits": pa.array([packed], pa.binary())})
+
+    dealt = grams.select("gram", F.col("gram").bitwiseAND(F.lit(chunks - 1)).alias("part"))
+    found = dealt.groupBy("part").applyInArrow(chunk, "part long, bits binary").toArrow()
+    bits = np.zeros((chunks, 1 << (_CHUNK_BITS - 3)), np.uint8)
+    for part, packed in zip(found["part"].to_pylist(), found["bits"].to_pylist(), strict=True):
+        bits[part] = np.frombuffer(packed, np.uint8)
+    return grams.sparkSession.sparkContext.broadcast(bits)
+
+
+VARIANTS = ["plain", "in_toxic", "in_ordinary"]
+
+
+def word_evidence(train: DataFrame, plan: Toxicity = PLAN) -> tuple[DataFrame, list[Column]]:
+    """``gram, t, o``: toxic and ordinary training texts with each expression that speaks for toxicity, and its
+    evidence for any text, and for a toxic and an ordinary training text without its own count.
+    Expressions of no toxic text speak for none and are left out."""
+    n = train.agg(F.sum("toxic"), F.count(F.lit(1))).first()
+    usual = (n[0] or 0) / max(n[1], 1)
+    seen = cut(_documents_with(train.where("toxic = 1")).withColumnRenamed("n", "t"))
+    ordinary = _documents_with(train.where("toxic = 0"), _bit_table(seen)).withColumnRenamed("n", "o")
+    both = seen.join(ordinary, "gram", "left").select("gram", "t", F.coalesce("o", F.lit(0)).alias("o"))
+
+    def raised(t: Column, o: Column) -> Column:
+        share = (t + plan.shrink * usual) / (t + o + plan.shrink)
+        return F.greatest(F.log(share / max(usual, 1e-12)) - plan.least, F.lit(0.0))
+
+    t, o = F.col("t"), F.col("o")
+    values = [raised(t, o), raised(t - 1, o), raised(t, F.greatest(o - 1, F.lit(0)))]
+    return cut(both.where(F.greatest(*values) > 0)), [v.alias(name) for v, name in zip(values, VARIANTS, strict=True)]
+
+
+def _key(text: Column) -> list[Column]:
+    """What evidence is joined by: it depends on the text alone."""
+    return [F.xxhash64(text).alias("key"), F.coalesce(F.length(text), F.lit(0)).alias("chars")]
+
+
+def strongest(docs: DataFrame, known: DataFrame, values: list[Column]) -> DataFrame:
+    """``key, chars`` of every text with a known expression, and its strongest evidence of each kind."""
+    bits = _bit_table(known)
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, len(batch), 1_000):
+                part = batch.slice(k, 1_000)
+                gram, row = _distinct(part.column(2), bits.value)
+                for j in range(0, len(gram), 50_000):
+                    taken = part.select(["key", "chars"]).take(pa.array(row[j : j + 50_000]))
+                    yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(gram[j : j + 50_000])], ["key", "chars", "gram"])
+
+    held = docs.select(*_key(F.col("text")), hashed_words(F.col("text")).alias("w"))
+    held = held.mapInArrow(run, "key long, chars int, gram long")
+    held = held.join(known, "gram").select("key", "chars", *values)
+    return held.groupBy("key", "chars").agg(*[F.max(v).alias(v) for v in VARIANTS])
+
+
+def scored(docs: DataFrame, labels: DataFrame, plan: Toxicity = PLAN) -> tuple[DataFrame, Column]:
+    """Narrow rows of all documents (``doc_id, held_out, key, chars`` and features), and the score over them.
 
     Training texts are moved once, to their labels; all other texts stay where they are.
     """
@@ -188,32 +322,40 @@ def scored(docs: DataFrame, labels: DataFrame, plan: Toxicity = PLAN) -> tuple[D
     marked = marked.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     # Merge join at every size: labels grow with the corpus and have no bound for a broadcast.
     train = docs.where(~held_out(plan)).select("doc_id", "text").join(marked.hint("merge"), "doc_id")
-    train = train.select("text", "toxic")
+    train = cut(train.select("text", "toxic"))
     seen = train.mapInArrow(_count, "label long, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
     found = cut(seen).toArrow()  # at most 2 * 32 ** 4 rows
     counts = np.zeros((2, GRAMS), np.int64)
     counts[found["label"].to_numpy(), found["gram"].to_numpy()] = found["n"].to_numpy()
     features = _features(evidence(counts, plan.discount), spark)
-    rows = cut(docs.select("doc_id", held_out(plan).alias("held_out"), features("text").alias("f")))
-    fit = rows.where("NOT held_out").join(marked, "doc_id").select("doc_id", "f.worst", "f.mean", "toxic")
-    fit = fit.orderBy(F.xxhash64("doc_id"), "worst", "mean").limit(plan.fit_rows).toPandas()
+    rows = cut(docs.select("doc_id", held_out(plan).alias("held_out"), *_key(F.col("text")), features("text").alias("f")))
+    words = cut(strongest(docs, *word_evidence(train, plan)))
+    rows = rows.join(words, ["key", "chars"], "left").select(
+        "doc_id", "held_out", "key", "chars", "f.worst", "f.mean", *[F.coalesce(v, F.lit(0.0)).alias(v) for v in VARIANTS]
+    )
+    own = F.when(F.col("toxic") == 1, F.col("in_toxic")).otherwise(F.col("in_ordinary"))
+    fit = rows.where("NOT held_out").join(marked, "doc_id").select("doc_id", "worst", "mean", own.alias("words"), "toxic")
+    fit = fit.orderBy(F.xxhash64("doc_id"), "worst", "mean", "words").limit(plan.fit_rows).toPandas()
     if fit["toxic"].nunique() < 2:
-        score = F.lit(1.0 if len(fit) and fit["toxic"].max() else 0.0)
-    else:
-        a, b, bias = _logistic(fit[["worst", "mean"]].to_numpy(), fit["toxic"].to_numpy(float))
-        score = 1 / (1 + F.exp(-(F.lit(float(a)) * F.col("f.worst") + F.lit(float(b)) * F.col("f.mean") + F.lit(float(bias)))))
-    return rows, features, score
+        return rows, F.lit(1.0 if len(fit) and fit["toxic"].max() else 0.0)
+    *weights, bias = map(float, _logistic(fit[["worst", "mean", "words"]].to_numpy(), fit["toxic"].to_numpy(float)))
+    total = F.lit(bias)
+    for name, weight in zip(("worst", "mean", "plain"), weights, strict=True):
+        total = total + F.lit(weight) * F.col(name)
+    return rows, 1 / (1 + F.exp(-total))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, plan: Toxicity = PLAN) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row."""
-    rows, _, score = scored(docs, labels, plan)
+    rows, score = scored(docs, labels, plan)
     rows = rows.select("doc_id", "held_out", score.cast("double").alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame, plan: Toxicity = PLAN) -> DataFrame:
-    """The documents scored below 0.5, with their own columns."""
-    _, features, score = scored(docs, labels, plan)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return rows.withColumn("f", features("row.text")).where(score < 0.5).select("row.*")
+    """The documents scored below 0.5, with their own columns. Equal texts have equal scores."""
+    rows, score = scored(docs, labels, plan)
+    gone = cut(rows.where(score >= 0.5).select("key", "chars").distinct())
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    held = held.select("row", *_key(F.col("row.text")))
+    return held.join(gone, ["key", "chars"], "left_anti").select("row.*")

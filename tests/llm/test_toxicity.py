@@ -88,3 +88,30 @@ def test_grams_stop_at_word_borders():
     one = [a, a << 5 | b, a << 10 | b << 5]
     assert gram.tolist() == one * 3 and owner.tolist() == [0] * 6 + [2] * 3
     assert len(set(word.tolist())) == 3
+
+
+def test_expressions_of_several_words_and_other_scripts_are_learned(spark):
+    rnd = random.Random(9)
+    plain = ["river", "green", "stone", "cloud", "night", "table", "paper", "light", "house", "water"]
+    greek, han = [chr(k) for k in range(0x3B1, 0x3C9)], [chr(k) for k in range(0x4E00, 0x4E28)]
+    bad_greek = "".join(greek[k] for k in (3, 7, 1, 9, 4))
+    bad_han = han[3] + han[30] + han[17]
+    rows, labels = [], []
+    for k in range(900):
+        bad = k % 6 == 0
+        kind = k // 6 % 3
+        if kind == 0:  # every word is ordinary, only the pair is not
+            words = [rnd.choice(plain) for _ in range(40)]
+            words = [w for i, w in enumerate(words) if not (i and w == "stone" and words[i - 1] == "green")]
+            text = " ".join(words).replace("green stone", "green") + (" night green stone house" if bad else " green night stone")
+        elif kind == 1:
+            words = ["".join(rnd.choice(greek) for _ in range(5)) for _ in range(40)]
+            text = " ".join([*words, bad_greek] if bad else words)
+        else:
+            text = "".join(rnd.choice(han) for _ in range(60)) + (bad_han if bad else "")
+        rows.append((k, text, None, None))
+        labels.append((k, 1, int(bad)))
+    docs, marks = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, LABELS)
+    got = {r.doc_id: r for r in tox.toxicity_scores(docs, marks).collect() if r.held_out}
+    assert len(got) > 100 and {k // 6 % 3 for k in got if k % 6 == 0} == {0, 1, 2}
+    assert sum(r.predicted != int(k % 6 == 0) for k, r in got.items()) <= 0.02 * len(got)
