@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noteframe.llm import near_dups, packing, quality, toxicity
+from noteframe.llm import catalog, near_dups, packing, quality, toxicity
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document in its place of a training sequence."""
-    return packing.pack(docs)
+    """Every piece of every document, by its tokens, in its place of a training sequence."""
+    return packing.pack_tokens(docs, catalog.piece_model())
 
 
 STAGES = [

@@ -77,7 +77,7 @@ def op7_toxicity(spark, sf_dir):
 
 @query
 def op9_best_fit_packing(spark, sf_dir):
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack_tokens(table(spark, sf_dir, "documents"), piece_model())
 
 
 @query

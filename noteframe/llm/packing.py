@@ -9,7 +9,8 @@ size that holds its contents, and the rule with the least total cost wins. Each
 piece then finds its bin from its rank among the pieces of its length; ranks come from
 counts per written part, so no group of equal lengths meets in one task.
 
-Defined results: the length is the number of words and an end mark, so a null or empty text
+Defined results: ``pack_tokens``, which the queries use, takes the number of tokens of the given vocabulary
+and an end mark as the length, and ``pack`` any length, by default words and an end mark; so a null or empty text
 has length 1; a document longer than the largest size becomes several pieces, all of
 them packed; repeated rows and rows without ``doc_id`` are packed like others; an empty table
 gives an empty result; other columns are ignored.
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteframe.llm.native import NOT_WHITE
+from noteframe.llm.sentence_pieces import token_sizes
 from noteframe.session import cut
 
 
@@ -197,3 +199,8 @@ def pack(docs: DataFrame, plan: Packing = PLAN, length: Column | None = None) ->
     kinds = dict(ranked.dtypes)
     schema = ", ".join(f"{n} {kinds.get(n, 'bigint')}" for n in names)
     return ranked.mapInArrow(place, schema)
+
+
+def pack_tokens(docs: DataFrame, model_path: str, plan: Packing = PLAN) -> DataFrame:
+    """``pack`` by tokens: lengths, and where pieces begin and end, count the ids of the vocabulary at ``model_path``."""
+    return pack(token_sizes(docs, model_path), plan, F.col("n_tokens") + 1)

@@ -108,6 +108,23 @@ def encoded(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     )
 
 
+def token_sizes(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
+    """``doc_id, n_tokens`` for every row: how many ids ``encoded`` gives, without the ids."""
+
+    def run(batches):
+        model = load(model_path)
+        table = UnitTable(_solver(model))
+        for batch in batches:
+            texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
+            for a, b in slices(texts):
+                *_, at = encode(model, table, texts[a:b])
+                sizes = pa.array(np.diff(at).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), sizes], ["doc_id", "n_tokens"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, n_tokens long")
+
+
 def digests(coded: DataFrame) -> DataFrame:
     """Counts and digests of encoded documents."""
     return coded.select(

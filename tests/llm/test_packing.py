@@ -71,3 +71,24 @@ def test_given_length_and_empty_table(spark):
     out = packing.pack(docs, packing.Packing(capacities=(16, 40)), F.col("part").cast("long")).collect()
     assert sum(r.length for r in out) == 40 and {r.doc_id for r in out} == {1, 3}
     assert packing.pack(docs.limit(0)).collect() == []
+
+
+def test_queries_pack_tokens_not_words(spark, tmp_path):
+    import corpus_pipeline
+    from noteframe.llm import catalog, sentence_pieces
+
+    rnd = random.Random(5)
+    han = lambda n: "".join(chr(rnd.randint(0x4E00, 0x5FFF)) for _ in range(n))
+    rows = [(1, han(20_000), "x", 0), (2, "internationalisation " * 700, "x", 0), (3, None, "x", 0), (4, han(30), "x", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    ids = {r.doc_id: len(r.ids) for r in sentence_pieces.encoded(docs, catalog.piece_model()).collect()}
+    for out in (catalog.QUERIES["op9_best_fit_packing"](spark, str(tmp_path)), corpus_pipeline.packed(spark, docs, "")):
+        filled, sizes, lengths = defaultdict(int), {}, defaultdict(int)
+        for r in out.collect():
+            lengths[r.doc_id] += r.length
+            filled[r.bin_id] += r.length
+            sizes[r.bin_id] = r.bin_size
+            assert r.last - r.first == r.length
+        assert lengths == {k: n + 1 for k, n in ids.items()} and ids[1] > 8_192
+        assert all(n <= sizes[b] for b, n in filled.items())
