@@ -4,7 +4,7 @@ Lines that begin with ``>`` are quotes, nested as often as the mark repeats. Run
 make passages; an unquoted message has passages too, its paragraphs, and its single lines and
 whole body beside them. Normalised passages are hashed and joined to the earliest earlier
 message of the conversation that says them itself. A message answers the latest message that its
-first-level quotes come from. Threads follow from these links by pointer doubling.
+quotes of the shallowest known level come from. Threads follow from these links by pointer doubling.
 
 Everything is columns and joins: a passage that many messages share is one row per conversation
 before it is joined, so a hot conversation or a common line pairs nothing.
@@ -95,20 +95,21 @@ def _keys(passage: Column) -> Column:
 
 
 def reply_links(messages: DataFrame) -> DataFrame:
-    """``conv_id, turn, parent_turn`` of every place that quotes an earlier message at the first level."""
+    """``conv_id, turn, parent_turn`` of every place that quotes an earlier message at any level."""
     placed = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL")
     said = F.filter("passages", lambda p: p["level"] == 0)
     own = F.flatten(F.transform(F.concat(F.transform(said, lambda p: p["text"]), F.array("body")), _keys))
     sources = placed.select("conv_id", "turn", F.explode(F.array_distinct(own)).alias("key"))
     sources = sources.groupBy("conv_id", "key").agg(F.min("turn").alias("source"))
-    quoted = F.filter("passages", lambda p: p["level"] == 1)
-    quotes = placed.select("conv_id", "turn", F.explode(F.transform(quoted, lambda p: p["text"])).alias("passage"))
-    quotes = quotes.select("conv_id", "turn", F.explode(_keys(F.col("passage"))).alias("key")).distinct()
+    quoted = F.filter("passages", lambda p: p["level"] > 0)
+    quotes = placed.select("conv_id", "turn", F.explode(quoted).alias("p"))
+    quotes = quotes.select("conv_id", "turn", F.col("p.level").alias("level"), F.explode(_keys(F.col("p.text"))).alias("key"))
+    quotes = quotes.groupBy("conv_id", "turn", "key").agg(F.min("level").alias("level"))
     return (
         quotes.join(sources, ["conv_id", "key"])
         .where("source < turn")
         .groupBy("conv_id", "turn")
-        .agg(F.max("source").alias("parent_turn"))
+        .agg(F.max_by("source", F.struct(-F.col("level"), F.col("source"))).alias("parent_turn"))
     )
 
 

@@ -85,3 +85,10 @@ def test_a_licence_is_found_however_it_is_written(spark):
 def test_known_texts_do_not_clash(spark):
     assert licences.known_digests(spark).count() <= sum(map(len, licences.KNOWN.values()))
     assert {r.license_id for r in licences.known_digests(spark).collect()} == set(licences.KNOWN)
+
+
+def test_nested_quotes_link_where_no_shallower_one_is_known(spark):
+    talk = [(1, 0, "user", "the very first"), (1, 1, "user", "something else"), (1, 2, "user", ">> the very first\nreply")]
+    talk += [(1, 3, "user", "> the very first\n>> something else\nboth"), (1, 4, "user", "> unknown\n>>> something else\ndeep")]
+    got = {r.turn: r.parent_turn for r in quotes.linked(spark.createDataFrame([(*r, None, None) for r in talk], SCHEMA)).collect()}
+    assert got == {0: None, 1: None, 2: 0, 3: 0, 4: 1}
