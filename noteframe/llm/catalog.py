@@ -19,6 +19,7 @@ from noteframe.llm import (
     token_counts,
     toxicity,
     vectors,
+    whitening,
 )
 from noteframe.llm.oracle import SQL  # noqa: F401
 
@@ -88,3 +89,8 @@ def op8_token_counts(spark, sf_dir):
 @query
 def op10_license_scans(spark, sf_dir):
     return licences.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_embedding_whitening(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))

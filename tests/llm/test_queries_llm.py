@@ -35,4 +35,4 @@ def test_entry_point_registers_all():
 
     assert set(QUERIES) | {"pipeline"} <= set(entry_point.queries())
     assert set(SQL) <= set(entry_point.oracle_sql())
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}
