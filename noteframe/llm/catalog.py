@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from noteframe.llm import (
     html_text,
+    language_id,
     licences,
     near_dups,
     packing,
@@ -94,3 +95,8 @@ def op10_license_scans(spark, sf_dir):
 @query
 def op12_embedding_whitening(spark, sf_dir):
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_language_id(spark, sf_dir):
+    return language_id.languages(table(spark, sf_dir, "documents"))
