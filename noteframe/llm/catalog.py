@@ -14,6 +14,7 @@ from noteframe.llm import (
     licences,
     near_dups,
     packing,
+    prefix_trie,
     quality,
     quotes,
     sentence_pieces,
@@ -100,3 +101,8 @@ def op12_embedding_whitening(spark, sf_dir):
 @query
 def op11_language_id(spark, sf_dir):
     return language_id.languages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))

@@ -85,7 +85,7 @@ def folded(text: str) -> np.ndarray:
 def grams(text: str, order: int) -> np.ndarray:
     """The distinct n-grams of a text as sorted integers, sliced so that a long text needs little memory."""
     points = folded(text)
-    found = [np.zeros(0, np.uint64)]
+    found = []
     for start in range(0, len(points), _SLICE):
         part = points[start : start + _SLICE + order - 1]
         for n in range(1, order + 1):
@@ -95,7 +95,8 @@ def grams(text: str, order: int) -> np.ndarray:
             found.append(np.unique(value))
         if len(found) > 64:
             found = [np.unique(np.concatenate(found))]
-    return np.unique(np.concatenate(found))
+    # Longer n-grams are larger integers, so the parts of one slice are in order already.
+    return np.concatenate(found) if len(points) <= _SLICE else np.unique(np.concatenate(found))
 
 
 def _has_letter(text: str | None) -> bool:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from noteframe.llm import licences, quality, quotes, vectors
+from noteframe.llm import licences, prefix_trie, quality, quotes, vectors
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -195,10 +195,47 @@ def quotes_sql() -> str:
     LEFT JOIN tops t ON t.conv_id = r.conv_id AND t.turn = r.turn"""
 
 
+def prefix_trie_sql() -> str:
+    plan = prefix_trie.PLAN
+    crc = (
+        "xor(list_reduce([4294967295::BIGINT] || [ord(x)::BIGINT for x in string_split(conv_id::VARCHAR, '')],"
+        " lambda c, b: list_reduce([xor(c, b)] || [0::BIGINT for i in range(8)],"
+        " lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+    )
+    return f"""
+    WITH given AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (
+      SELECT conv_id, {crc} % {plan.heads} AS h,
+        list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS turns
+      FROM given GROUP BY conv_id),
+    rebuilt AS (
+      SELECT o.conv_id, list_concat(coalesce(b.turns[1:o.h], []), o.turns[o.h + 1:]) AS whole
+      FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - (o.conv_id % {plan.family} + {plan.family}) % {plan.family}),
+    prefixes AS (
+      SELECT conv_id, depth, len(whole) AS length, sha256(to_json(whole[1:depth])::VARCHAR) AS node,
+        sha256(to_json(whole[1:depth - 1])::VARCHAR) AS parent, strlen(coalesce(whole[depth].text, '')) AS bytes
+      FROM (SELECT *, unnest(range(0, len(whole) + 1)) AS depth FROM rebuilt)),
+    nodes AS (
+      SELECT node, depth, min(parent) AS parent, min(bytes) AS bytes, min(conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = length), '')) AS ends_sha256
+      FROM prefixes GROUP BY node, depth),
+    children AS (SELECT parent, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY parent),
+    below AS (
+      SELECT p.node, sum((n.n_convs - 1) * n.bytes) AS saved_tokens, count(*) FILTER (c.parent IS NULL) AS n_leaves
+      FROM nodes n JOIN prefixes p ON p.conv_id = n.conv_id AND p.depth <= n.depth LEFT JOIN children c ON c.parent = n.node
+      GROUP BY p.node)
+    SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, b.n_leaves,
+      b.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+    FROM nodes n JOIN below b USING (node) LEFT JOIN children c ON c.parent = n.node
+    LEFT JOIN nodes p ON n.depth > 0 AND p.node = n.parent"""
+
+
 SQL = {
     "op2_minhash_near_dedup": near_dup_sql(),
     "op4_quotation_linking": quotes_sql(),
     "op5_quality_rules": quality_sql(),
     "op6_inverted_multi_index": near_vectors_sql(),
     "op10_license_scans": licences_sql(),
+    "op13_prefix_trie": prefix_trie_sql(),
 }
