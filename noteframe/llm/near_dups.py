@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 from noteframe.llm import arrowtext as at
 from noteframe.llm.groups import components
+from noteframe.llm.native import packed
+from noteframe.llm.rowset import within, without
 from noteframe.session import cut
 
 
@@ -258,13 +260,42 @@ def near_duplicates(docs: DataFrame, plan: NearDup = CONTRACT) -> DataFrame:
     )
 
 
+def _fresh_ids(ids: DataFrame) -> Column:
+    """Ids that no row has, larger than all where there is room."""
+    low, high = ids.agg(F.min("doc_id"), F.max("doc_id")).first()
+    if high is None or high < 1 << 62:
+        return F.monotonically_increasing_id() + F.lit(max(0, -1 if high is None else high) + 1)
+    if low > -(1 << 62):
+        return F.lit(min(0, low) - 1) - F.monotonically_increasing_id()
+    raise ValueError("doc_id takes up the whole range of a long")
+
+
 def keep_one(docs: DataFrame, plan: NearDup = PIPELINE) -> DataFrame:
-    """One document of each group, with its own columns.
+    """One document of each group, that of the smallest ``doc_id``, with its own columns.
 
-    Rows with a ``doc_id`` are matched by it, and of rows that share one a single row stays;
-    rows without one are all kept.
+    Texts decide. Rows that share ``doc_id`` and text are one document, of which one row stays. Rows without ``doc_id``, and
+    rows whose ``doc_id`` other texts have too, are judged by their text under an id of their own, which comes after
+    all given ones. Texts without words are like nothing. An empty table stays empty. Whole texts are not moved, but for rows of
+    the kinds just named.
     """
-    gone = near_duplicates(docs, plan).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    known = docs.where(F.col("doc_id").isNotNull())
-    stay = known.join(gone, known["doc_id"] == gone["_gone"], "left_anti").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.where(F.col("doc_id").isNull()))
+    key = F.struct(F.xxhash64("text"), F.coalesce(F.length("text"), F.lit(-1)))
+    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key")))
+    named = rows.where("doc_id IS NOT NULL").groupBy("doc_id")
+    named = named.agg(F.count(F.lit(1)).alias("n"), (F.min("key") != F.max("key")).alias("torn")).where("n > 1")
+    named = cut(named)
+    torn, twice = (cut(named.where(cond).select("doc_id")) for cond in ("torn", "NOT torn"))
+    with_id = docs.where(F.col("doc_id").isNotNull())
+    doc_id = {"doc_id": F.col("row.doc_id").cast("long")}
+    odd = docs.where(F.col("doc_id").isNull())
+    texts = with_id
+    if not torn.isEmpty():
+        odd, texts = odd.unionByName(within(with_id, doc_id, torn)), without(with_id, doc_id, torn)
+    odd = cut(packed(odd).withColumn("id", _fresh_ids(rows)))
+    texts = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    verdict = near_duplicates(texts.unionByName(odd.select(F.col("id").alias("doc_id"), "row.text")), plan)
+    gone = cut(verdict.where("NOT kept").select("doc_id").distinct())
+    out = without(with_id, doc_id, gone.unionByName(torn).unionByName(twice).distinct())
+    if not twice.isEmpty():
+        several = within(with_id, doc_id, twice.join(gone, "doc_id", "left_anti"))
+        out = out.unionByName(several.dropDuplicates(["doc_id"]))
+    return out.unionByName(odd.join(gone, odd["id"] == gone["doc_id"], "left_anti").select("row.*"))

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noteframe.llm.rowset import bit_table, may_hold, maybe_in, without
 from noteframe.session import cut
 
 ORDER = 4
@@ -210,19 +211,12 @@ def expressions(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found).view(np.int64), np.concatenate(rows)
 
 
-_CHUNK_BITS = 18
-PROBES = (12, 30, 46)  # where a hash holds its three places in the chunk that its low bits name
-
-
 def _distinct(words: pa.Array, bits: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """The distinct expressions of each row that may be in the bit table."""
     gram, row = expressions(words)
     if bits is not None:
-        part = gram & (len(bits) - 1)
-        for shift in PROBES:
-            at = (gram >> shift) & ((1 << _CHUNK_BITS) - 1)
-            may = (bits[part, at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-            gram, row, part = gram[may], row[may], part[may]
+        may = may_hold(bits, gram)
+        gram, row = gram[may], row[may]
     order = np.lexsort((gram, row))
     gram, row = gram[order], row[order]
     first = np.ones(len(gram), bool)
@@ -246,26 +240,6 @@ def _documents_with(texts: DataFrame, bits=None) -> DataFrame:
     return counts.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def _bit_table(grams: DataFrame):
-    """Broadcast bits of ``gram``: about 16 a row, at most 2 ** 28 (32 MB) at any corpus size."""
-    size = 1 << int(np.clip(int(16 * grams.count()).bit_length(), _CHUNK_BITS, 28))
-    chunks = size >> _CHUNK_BITS
-
-    def chunk(table: pa.Table) -> pa.Table:
-        on, gram = np.zeros(1 << _CHUNK_BITS, np.uint8), table["gram"].to_numpy()
-        for shift in PROBES:
-            on[(gram >> shift) & ((1 << _CHUNK_BITS) - 1)] = 1
-        packed = np.packbits(on, bitorder="little").tobytes()
-        return pa.table({"part": pa.array([int(gram[0]) & (chunks - 1)]), "bits": pa.array([packed], pa.binary())})
-
-    dealt = grams.select("gram", F.col("gram").bitwiseAND(F.lit(chunks - 1)).alias("part"))
-    found = dealt.groupBy("part").applyInArrow(chunk, "part long, bits binary").toArrow()
-    bits = np.zeros((chunks, 1 << (_CHUNK_BITS - 3)), np.uint8)
-    for part, packed in zip(found["part"].to_pylist(), found["bits"].to_pylist(), strict=True):
-        bits[part] = np.frombuffer(packed, np.uint8)
-    return grams.sparkSession.sparkContext.broadcast(bits)
-
-
 VARIANTS = ["plain", "in_toxic", "in_ordinary"]
 
 
@@ -276,7 +250,7 @@ def word_evidence(train: DataFrame, plan: Toxicity = PLAN) -> tuple[DataFrame, l
     n = train.agg(F.sum("toxic"), F.count(F.lit(1))).first()
     usual = (n[0] or 0) / max(n[1], 1)
     seen = cut(_documents_with(train.where("toxic = 1")).withColumnRenamed("n", "t"))
-    ordinary = _documents_with(train.where("toxic = 0"), _bit_table(seen)).withColumnRenamed("n", "o")
+    ordinary = _documents_with(train.where("toxic = 0"), bit_table(seen)).withColumnRenamed("n", "o")
     both = seen.join(ordinary, "gram", "left").select("gram", "t", F.coalesce("o", F.lit(0)).alias("o"))
 
     def raised(t: Column, o: Column) -> Column:
@@ -295,7 +269,7 @@ def _key(text: Column) -> list[Column]:
 
 def strongest(docs: DataFrame, known: DataFrame, values: list[Column]) -> DataFrame:
     """``key, chars`` of every text with a known expression, and its strongest evidence of each kind."""
-    bits = _bit_table(known)
+    bits = bit_table(known)
 
     def run(batches):
         for batch in batches:
@@ -320,8 +294,11 @@ def scored(docs: DataFrame, labels: DataFrame, plan: Toxicity = PLAN) -> tuple[D
     spark = docs.sparkSession
     marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL")
     marked = marked.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    # Merge join at every size: labels grow with the corpus and have no bound for a broadcast.
-    train = docs.where(~held_out(plan)).select("doc_id", "text").join(marked.hint("merge"), "doc_id")
+    marked = cut(marked)
+    # Texts without a label stay where they are. Merge join at every size: labels grow with the corpus and
+    # have no bound for a broadcast.
+    train = docs.where(~held_out(plan) & maybe_in([F.col("doc_id")], marked.select("doc_id")))
+    train = train.select("doc_id", "text").join(marked.hint("merge"), "doc_id")
     train = cut(train.select("text", "toxic"))
     seen = train.mapInArrow(_count, "label long, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
     found = cut(seen).toArrow()  # at most 2 * 32 ** 4 rows
@@ -356,6 +333,5 @@ def keep_ordinary(docs: DataFrame, labels: DataFrame, plan: Toxicity = PLAN) ->
     """The documents scored below 0.5, with their own columns. Equal texts have equal scores."""
     rows, score = scored(docs, labels, plan)
     gone = cut(rows.where(score >= 0.5).select("key", "chars").distinct())
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    held = held.select("row", *_key(F.col("row.text")))
-    return held.join(gone, ["key", "chars"], "left_anti").select("row.*")
+    key, chars = _key(F.col("row.text"))
+    return without(docs, {"key": key, "chars": chars}, gone)

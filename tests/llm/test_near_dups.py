@@ -1,6 +1,7 @@
 """Near duplicates against all pairs, and SuperMinHash against true similarity."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -83,7 +84,24 @@ def test_rows_without_or_with_repeated_ids(spark):
     docs = spark.createDataFrame([(i, t, None, None) for i, t in rows], SCHEMA)
     got = sorted((r.doc_id or 0, r.component_id, r.kept) for r in near_dups.near_duplicates(docs).collect() if r.doc_id)
     assert got == [(3, 3, True), (7, 3, False), (7, 3, False), (9, 9, True)]
-    assert sorted((r.doc_id or 0) for r in near_dups.keep_one(docs).collect()) == [0, 0, 3, 9]
+    assert sorted((r.doc_id or 0) for r in near_dups.keep_one(docs).collect()) == [3, 9]
+
+
+def test_keep_one_judges_texts_not_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " more"), (None, b), (None, c), (None, c), (5, None), (6, ""), (None, None), (None, " ")]
+    rows += [(8, c + " longer"), (9, "alone with its six words here"), (9, "alone with its six words here")]
+    docs = spark.createDataFrame([(i, t, "x", k) for k, (i, t) in enumerate(rows)], SCHEMA)
+    stayed = near_dups.keep_one(docs)
+    assert stayed.columns == docs.columns
+    kept = Counter((r.doc_id, r.text) for r in stayed.collect())
+    # 2 speaks for a, 8 for c; b is left once, under either row; texts without words all stay.
+    b_rows = {k: n for k, n in kept.items() if k[1] == b}
+    assert sum(b_rows.values()) == 1
+    want = {(2, a + " more"): 1, (8, c + " longer"): 1, (9, rows[-1][1]): 1}
+    want |= {(5, None): 1, (6, ""): 1, (None, None): 1, (None, " "): 1}
+    assert {k: n for k, n in kept.items() if k[1] != b} == want
+    assert near_dups.keep_one(docs.limit(0)).collect() == []
 
 
 def test_empty_table(spark):
