@@ -1,10 +1,16 @@
-"""Corpus pipeline: quality rules, toxicity, near-duplicate removal, packing."""
+"""Corpus pipeline: quality rules, toxicity, near-duplicate removal, packing.
+
+Every stage works on all rows that the one before kept. Null and empty texts fail the quality rules; of near copies the smallest ``doc_id``
+stays; rows without ``doc_id`` and rows that share one are judged by their texts; rows of equal text have one fate but in the third
+stage; other columns are carried along to the last; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from noteframe.llm import catalog, near_dups, packing, quality, toxicity
+from noteframe.session import cut
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,13 +40,13 @@ STAGES = [
     ("packing", packed),
 ]
 
-# Sketches, language models, MinHash and packing have no SQL form; tests compare the stages with brute force.
+# Sketches, language models, MinHash and packing have no SQL form; tests compare the stages with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``; what a stage keeps is written once for the next, which reads it several times."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
