@@ -12,14 +12,15 @@ from noteframe.operators.skew import spread_join
 from noteframe.session import cut
 
 
+def note_names(notes: DataFrame) -> DataFrame:
+    """(path, key): the lower-case title and file stem of every note."""
+    keys = F.array_distinct(F.array(F.lower("title"), F.lower(md.stem(F.col("path")))))
+    return notes.select("path", F.explode(keys).alias("key"))
+
+
 def title_dict(notes: DataFrame) -> DataFrame:
     """(key, path): lower-case titles and file stems, one path per key."""
-    keys = F.array_distinct(F.array(F.lower("title"), F.lower(md.stem(F.col("path")))))
-    return (
-        notes.select("path", F.explode(keys).alias("key"))
-        .groupBy("key")
-        .agg(F.max("path").alias("path"))
-    )
+    return note_names(notes).groupBy("key").agg(F.max("path").alias("path"))
 
 
 def resolve_titles(titles: DataFrame, requests: DataFrame, column: str = "name") -> DataFrame:
@@ -32,6 +33,20 @@ def raw_links(notes: DataFrame) -> DataFrame:
     return notes.select(F.col("path").alias("src"), F.explode("raw_links").alias("target"))
 
 
+def target_path(target: Column) -> Column:
+    """The path that a link target would name."""
+    return F.when(F.endswith(target, F.lit(".md")), target).otherwise(F.concat(target, F.lit(".md")))
+
+
+def resolve_targets(targets: DataFrame, paths: DataFrame, titles: DataFrame) -> DataFrame:
+    """(target, dst) of distinct targets (target): a path, else a dictionary entry, else NULL."""
+    exact = paths.select(F.col("path").alias("_exact"))
+    keyed = targets.select("target", target_path(F.col("target")).alias("_as_path"), F.lower("target").alias("_key"))
+    by_path = keyed.join(exact, F.col("_as_path") == F.col("_exact"), "left")
+    by_title = by_path.join(titles.withColumnsRenamed({"key": "_key", "path": "_titled"}), "_key", "left")
+    return by_title.select("target", F.coalesce("_exact", "_titled").alias("dst"))
+
+
 def resolve_links(notes: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """(src, target, dst) for every distinct wikilink; dst NULL if unresolved.
 
@@ -40,15 +55,7 @@ def resolve_links(notes: DataFrame, titles: DataFrame | None = None) -> DataFram
     """
     titles = title_dict(notes) if titles is None else titles
     links = raw_links(notes)
-    paths = notes.select(F.col("path").alias("_exact"))
-    targets = links.select("target").distinct()
-    with_md = targets.withColumn(
-        "_as_path",
-        F.when(F.endswith("target", F.lit(".md")), F.col("target")).otherwise(F.concat("target", F.lit(".md"))),
-    ).withColumn("_key", F.lower("target"))
-    by_path = with_md.join(paths, F.col("_as_path") == F.col("_exact"), "left")
-    by_title = by_path.join(titles.withColumnsRenamed({"key": "_key", "path": "_titled"}), "_key", "left")
-    resolved = by_title.select("target", F.coalesce("_exact", "_titled").alias("dst"))
+    resolved = resolve_targets(links.select("target").distinct(), notes.select("path"), titles)
     return spread_join(links, resolved, "target", "left", salt_by=["src"]).select("src", "target", "dst")
 
 

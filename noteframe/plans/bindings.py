@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteframe.functions import markdown as md
+from noteframe.operators.token_index import TokenIndex
 from noteframe.plans.tables import NoteTables
 from noteframe.session import cut, fresh_path, tune
+from noteframe.sources import buckets
 
 AS_OF = "2001-08-01"
 PAGE_LINES = 200
@@ -370,6 +372,28 @@ def corpus(spark: SparkSession, sf_dir: str) -> NoteTables:
     return _CORPORA[key]
 
 
+_STORES: dict = {}
+
+
+def bucket_store(spark: SparkSession, sf_dir: str) -> buckets.BucketStore:
+    """The relational corpus as a bucketed snapshot, written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        _STORES[key] = buckets.create(spark, fresh_path(spark, "buckets"), corpus(spark, sf_dir).notes, count=32)
+    return _STORES[key]
+
+
+def refreshed_store(spark: SparkSession, sf_dir: str) -> buckets.BucketStore:
+    """``bucket_store`` after two batches: some customers leave, half of them come back."""
+    key = (spark.sparkContext.applicationId, sf_dir, "refreshed")
+    if key not in _STORES:
+        raw, left = raw_corpus(spark, sf_dir), _customers(spark, sf_dir).where("k % 9 = 0")
+        store = buckets.apply_batch(bucket_store(spark, sf_dir), raw.limit(0), left.select("path"))
+        back = raw.join(left.where("k % 18 = 0").select("path"), "path", "left_semi")
+        _STORES[key] = buckets.apply_batch(store, back)
+    return _STORES[key]
+
+
 def document_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as notes: first line as title, language and source as tags."""
     tune(spark)
@@ -390,6 +414,19 @@ def document_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_INDEXES: dict = {}
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> tuple[TokenIndex, DataFrame]:
+    """The token index of the document notes and their (path, title), written once per application."""
+    tune(spark)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        notes = document_notes(spark, sf_dir)
+        _INDEXES[key] = TokenIndex.build(spark, fresh_path(spark, "index"), notes), cut(notes.select("path", "title"))
+    return _INDEXES[key]
+
+
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as an edit log, one entry per event."""
     tune(spark)

@@ -22,6 +22,7 @@ from noteframe.operators import people as W
 from noteframe.operators import predicate as Q
 from noteframe.operators import search as S
 from noteframe.operators import stats as A
+from noteframe.operators import token_index as T
 from noteframe.operators import validate as V
 from noteframe.plans import bindings as B
 from noteframe.plans.oracle import AS_OF as DAY
@@ -1065,6 +1066,30 @@ def _(spark, sf):
     return C.drift(snapshot, external)
 
 
+# Bucketed snapshots ----------------------------------------------------------
+
+_GONE = "(SELECT path FROM cust WHERE k%9=0 AND k%18<>0)"
+
+
+@query(
+    "bucket_refresh_links",
+    f"""SELECT src, target, CASE WHEN dst IN {_GONE} THEN NULL ELSE dst END AS dst FROM links WHERE src NOT IN {_GONE}""",
+)
+def _(spark, sf):
+    return B.refreshed_store(spark, sf).links
+
+
+@query("bucket_refresh_notes", f"SELECT path, title FROM notes WHERE path NOT IN {_GONE}")
+def _(spark, sf):
+    return B.refreshed_store(spark, sf).notes.select("path", "title")
+
+
+@query("bucket_lookup", "SELECT n.path, n.title FROM notes n JOIN cust c ON c.path = n.path WHERE c.k % 100 = 1")
+def _(spark, sf):
+    wanted = B._customers(spark, sf).where("k % 100 = 1").select("path")
+    return B.bucket_store(spark, sf).lookup(wanted).select("path", "title")
+
+
 # Search --------------------------------------------------------------------
 
 # The search words; every query reads all documents in full.
@@ -1136,8 +1161,8 @@ def _(spark, sf):
     notes = B.document_notes(spark, sf)
     scan = S.lexical_search(notes, asked).select("query_id", "path", "score")
     joined = S.lexical_search(notes, asked, route="join").select("query_id", "path", "score")
-    # Both routes must agree: what only one of them finds would be an extra row.
-    return scan.unionByName(joined.exceptAll(scan))
+    # Both routes must agree: what only one of them finds would be an extra row, twice where it is the scan.
+    return scan.unionByName(joined.exceptAll(scan)).unionByName(scan.exceptAll(joined))
 
 
 @query("lexical_search_joined", f"SELECT query_id, path, title, excerpt, score, rank FROM ({_lexical_sql(10)})")
@@ -1158,6 +1183,32 @@ def _(spark, sf):
     return rows.select("query_id", "path", "title", F.round("score", 6).alias("score"), "rank")
 
 
+@query("lexical_search_indexed", f"SELECT query_id, path, title, score, rank FROM ({_lexical_sql(10)})")
+def _(spark, sf):
+    index, titles = B.document_index(spark, sf)
+    return T.lexical_search(index, titles, _queries(spark))
+
+
+@query(
+    "lexical_hits_indexed",
+    """SELECT item_id AS query_id, source||'/'||doc_id||'.md' AS path, CASE
+         WHEN contains(lower(trim(split_part(documents.text, chr(10), 1))), lower(benchmark.text)) THEN 1.0 ELSE 0.5 END::DOUBLE AS score
+       FROM documents JOIN benchmark ON contains(lower(documents.text), lower(benchmark.text))""",
+)
+def _(spark, sf):
+    # Every benchmark passage against every document: needles of many words, from the index alone.
+    index, _ = B.document_index(spark, sf)
+    items = B.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return T.lexical_hits(index, items, route="join").select("query_id", "path", "score")
+
+
+@query("content_search_indexed", f"SELECT query_id, path, title, round(score, 6) AS score, rank FROM ({_content_sql(10)})")
+def _(spark, sf):
+    index, titles = B.document_index(spark, sf)
+    rows = T.content_search(index, titles, _queries(spark))
+    return rows.select("query_id", "path", "title", F.round("score", 6).alias("score"), "rank")
+
+
 _SNIPPET = """CASE WHEN pos IS NULL THEN substring(compact, 1, 220) ELSE
     CASE WHEN greatest(pos-81,0)>0 THEN '...' ELSE '' END
     ||substring(compact, greatest(pos-81,0)+1, least(length(compact), pos+139)-greatest(pos-81,0))
