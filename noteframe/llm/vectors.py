@@ -2,8 +2,8 @@
 
 Two codebooks, one per half of the vector, form a grid of cells. Every vector is indexed in its home cell
 and visits cells in the order of the multi-sequence traversal, nearest first, until the target
-recall: the traversal stops at the distance within which that share of pairs at the similarity limit
-finds one another. What is visited is verified in double precision. Equal vectors are one class with a
+recall: the traversal stops at the distance within which that share of pairs finds one another, both of pairs made at the similarity limit
+and of the true pairs that a sample of at most ``queries`` classes has among all classes, compared in blocks. What is visited is verified in double precision. Equal vectors are one class with a
 weight; tasks return counts and the spanning forest of what they verified, never pairs.
 
 Only the codebooks and the stopping distance are fitted on a sample, of at most ``sample`` classes;
@@ -18,7 +18,7 @@ component; rows that share a ``vec_id`` are one node; an empty table gives an em
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,7 @@ class MultiIndex:
     recall: float = 0.995  # share of pairs at the limit that the traversal must reach
     sample: int = 20_000  # bound of the classes that codebooks and stopping distance are fitted on
     cell_rows: int = 256  # intended classes per cell; sets the size of the grid
+    queries: int = 1_000  # bound of the classes whose true pairs among all classes set the stopping distance
     block_rows: int = 1_024
     rounds: int = 12
 
@@ -125,6 +126,56 @@ def _unit(column: pa.Array, width: int) -> np.ndarray:
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
+_STEPS = 1_000  # resolution of distances beyond the home cell
+
+
+def _beyond(index: Index, ids: np.ndarray, sizes: np.ndarray, queries: np.ndarray, plan: MultiIndex):
+    """``query, step, n``: how far beyond its home cell a query or its partner has to go, for every true pair of a sampled query."""
+    (gq, hq) = index.distances(queries)
+    near_q = gq.argmin(1), hq.argmin(1)
+    least_q = gq.min(1) + hq.min(1)
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, len(batch), 2_000):
+                part = batch.slice(k, 2_000)
+                y = _unit(part.column(1), index.width)
+                row, q = np.nonzero(y @ queries.T >= plan.cosine)
+                keep = (part.column(0).to_numpy()[row] != ids[q]) & (part.column(2).to_numpy()[row] == sizes[q])
+                row, q = row[keep], q[keep]
+                gy, hy = index.distances(y)
+                out = gq[q, gy.argmin(1)[row]] + hq[q, hy.argmin(1)[row]] - least_q[q]
+                back = gy[row, near_q[0][q]] + hy[row, near_q[1][q]] - (gy.min(1) + hy.min(1))[row]
+                steps = np.ceil(np.minimum(out, back) * _STEPS).astype(np.int64)
+                found, n = np.unique(np.column_stack([q, steps]), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(n)], ["query", "step", "n"])
+
+    return run
+
+
+def reach_of(query: np.ndarray, step: np.ndarray, n: np.ndarray, recall: float) -> float:
+    """The distance within which ``recall`` of all pairs lie, and of the pairs of the average query."""
+    if not len(step):
+        return 0.0
+    order = np.argsort(step, kind="stable")
+    out = 0.0
+    for weight in (n.astype(float), n / np.bincount(query, n)[query]):
+        share = np.cumsum(weight[order]) / weight.sum()
+        out = max(out, float(step[order][np.searchsorted(share, min(recall, share[-1]))]) / _STEPS)
+    return out
+
+
+def _widened(index: Index, classes: DataFrame, drawn: pa.Table, plan: MultiIndex) -> Index:
+    """The index with the stopping distance that the true pairs of the sampled queries ask for."""
+    asked = drawn.slice(0, plan.queries)
+    ids, sizes = asked["id"].to_numpy(), asked["size"].to_numpy()
+    beyond = _beyond(index, ids, sizes, _unit(asked["v"], index.width), plan)
+    needs = classes.select("id", "v", "size").mapInArrow(beyond, "query long, step long, n long")
+    needs = needs.groupBy("query", "step").agg(F.sum("n").alias("n")).toArrow()
+    reach = reach_of(*(needs[c].to_numpy() for c in ("query", "step", "n")), plan.recall)
+    return replace(index, reach=max(index.reach, reach + 1e-9))
+
+
 def _placed(index: Index):
     """Each class as a member of its home cell and a visitor of all cells it traverses."""
 
@@ -192,8 +243,8 @@ def near_vectors(rows: DataFrame, plan: MultiIndex = PLAN) -> DataFrame:
     count, width = classes.agg(F.count(F.lit(1)), F.max("size")).first()
     own = classes.select(F.col("v").alias("w"), F.col("id").alias("node"), (F.col("weight") - 1).alias("copies"))
     if count:
-        drawn = classes.orderBy(F.xxhash64("id"), "id").limit(plan.sample).select("v").toArrow()["v"]
-        index = fit(_unit(drawn, width), count, plan)
+        drawn = classes.orderBy(F.xxhash64("id"), "id").limit(plan.sample).select("id", "v", "size").toArrow()
+        index = _widened(fit(_unit(drawn["v"], width), count, plan), classes, drawn, plan)
         placed = cut(
             classes.mapInArrow(
                 _placed(index), "id long, v array<float>, size int, weight long, cell long, member boolean"

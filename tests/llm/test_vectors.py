@@ -1,6 +1,7 @@
 """The multi-index against all pairs, its traversal, and edge cases."""
 
 import numpy as np
+import pytest
 
 from noteframe.llm import vectors
 
@@ -50,6 +51,21 @@ def test_recall_and_precision_against_all_pairs(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+@pytest.mark.parametrize("inner", [6, 12])
+def test_recall_where_vectors_vary_in_few_directions(spark, inner):
+    rng = np.random.default_rng(inner)
+    base = rng.normal(size=(inner, 48))
+    spread = rng.normal(size=(1_500, inner))
+    near = spread[rng.integers(0, 1_500, 1_500)] + rng.normal(size=(1_500, inner)) * 0.25
+    rows = (np.vstack([spread, near]) @ base + rng.normal(size=(3_000, 48)) * 0.05).astype(np.float32)
+    frame = spark.createDataFrame([(i, r.tolist(), 0, "x", 1) for i, r in enumerate(rows)], SCHEMA)
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(frame, vectors.MultiIndex(cell_rows=12)).collect()}
+    unit = rows.astype(np.float64) / np.linalg.norm(rows.astype(np.float64), axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.9).sum(1) - 1
+    assert want.sum() > 1_000 and all(got[i] <= want[i] for i in got)
+    assert sum(got.values()) >= 0.97 * want.sum()
+
+
 def test_odd_vectors_link_with_nothing(spark):
     one = [1.0, 2.0, 3.0, 4.0]
     rows = [(1, one), (2, [2.0, 4.0, 6.0, 8.0]), (3, None), (4, []), (5, [0.0] * 4), (6, [1.0, None, 3.0, 4.0])]
