@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteframe.config import DEFAULT, NoteConfig
 from noteframe.functions import frontmatter as fm
 from noteframe.functions import markdown as md
+from noteframe.session import cut
 
 NUMERIC = "^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
 
@@ -147,3 +148,18 @@ def frontmatter_lookup(
     )
     paths = hits.select("path").distinct()
     return paths.orderBy("path").limit(limit) if limit else paths
+
+
+def numbered(ordered: DataFrame, name: str = "place") -> DataFrame:
+    """A sorted table with the number of each row, from 1.
+
+    The sort ranges the rows over tasks; each task numbers its own, and the counts of the tasks before are added. Only these counts, one for
+    each task, meet in one place.
+    """
+    rows = cut(ordered.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))  # the row's number in its task
+    place = (F.col("_before") + inside + 1).alias(name)
+    return rows.join(F.broadcast(offsets), "_part").select(*ordered.columns, place)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteframe.functions import frontmatter as fm
@@ -393,13 +393,12 @@ def _(spark, sf):
 @query(
     "query_notes_order_all",
     """SELECT path, row_number() OVER (ORDER BY date IS NOT NULL, try_cast(date AS DATE) NULLS FIRST, path) AS place
-       FROM meet QUALIFY place <= 2000""",
+       FROM meet""",
 )
 def _(spark, sf):
-    # Missing, malformed and real days together, rising.
-    found = Q.query_notes(B.corpus(spark, sf).notes, Q.QueryOptions(where={"tags": "meeting"}, order_by="date", limit=2000))
-    ordered = found.withColumn("_at", F.monotonically_increasing_id())
-    return ordered.select("path", F.row_number().over(Window.orderBy("_at")).alias("place"))
+    # Missing, malformed and real days of all meetings together, rising.
+    found = Q.query_notes(B.corpus(spark, sf).notes, Q.QueryOptions(where={"tags": "meeting"}, order_by="date"))
+    return Q.numbered(found.select("path"))
 
 
 @query("notes_by_folder", "SELECT source||'/'||doc_id||'.md' AS path FROM documents WHERE source = 'src1'")
