@@ -27,3 +27,25 @@ def test_stages_keep_the_columns_and_take_effect(spark, tmp_path):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {r.doc_id for r in packed} == ids[-1] and len(ids[-1]) < len(ids[0])
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == ids[-1]
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and repeated texts, shared and missing ids, columns that clash with those inside, and an empty table."""
+    good = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, good, "en", "s"), (1, good, "en", "s"), (None, good + " more", None, None), (2, None, "en", None), (3, "", None, "s")]
+    rows += [(4, " ".join(f"other{k}" for k in range(60)), "en", "s"), (4, " ".join(f"third{k}" for k in range(60)), "en", "s")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, key long, id long, counts int, kept boolean"
+    odd = spark.createDataFrame([(*r, None, "x", 1, 2, 3, False) for r in rows], schema)
+    texts = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, odd, SF)
+        assert kept.columns == odd.columns, name
+        texts.append(sorted(((r.doc_id or 0), (r.text or "")[:6]) for r in kept.collect()))
+        assert stage(spark, odd.limit(0), SF).collect() == []
+    whole = sorted(((r[0] or 0), (r[1] or "")[:6]) for r in rows)
+    assert texts[0] == [r for r in whole if r[1]]  # short texts fail the rules
+    assert texts[1] == whole  # nothing toxic
+    assert texts[2] == sorted({r for r in whole if r[0] or not r[1]})  # the copy without an id goes, both texts of 4 stay
+    packed = corpus_pipeline.STAGES[-1][1]
+    assert {r.doc_id for r in packed(spark, odd, SF).collect()} == {None, 1, 2, 3, 4}
+    assert packed(spark, odd.limit(0), SF).collect() == []
