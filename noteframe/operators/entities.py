@@ -292,7 +292,8 @@ def similar_customers(notes: DataFrame, requests: DataFrame, config: NoteConfig
     )
 
 
-SUBSET_TAGS = 10  # tag sets up to this size are counted through their subsets
+SUBSET_TAGS = 10  # tag sets up to this size are counted among each other through their subsets
+BITMAP_ROWS = 32_768  # rows of one bitmap, fixed by the bitmap functions
 
 
 def _subsets(tags: Column) -> Column:
@@ -303,30 +304,42 @@ def _subsets(tags: Column) -> Column:
     )
 
 
+def _union_sizes(sets: DataFrame, notes: DataFrame) -> DataFrame:
+    """(_set, _near): how many rows of ``notes`` (_set) hold any tag of each set.
+
+    Rows are numbered as they are written; every tag has one bitmap of 4 KB for 32,768 rows, and the union of
+    the bitmaps of a set's tags is counted piece by piece. Tags that no set asks for get none.
+    """
+    # Numbered before the tags are listed: a note has one number.
+    rows = cut(notes.select("_set", F.monotonically_increasing_id().alias("_row"))).select(
+        F.explode("_set").alias("tag"),
+        F.expr(f"_row div {BITMAP_ROWS}").alias("_bucket"),
+        (F.col("_row") % BITMAP_ROWS).alias("_bit"),
+    )
+    asked = sets.select("_set", F.explode("_set").alias("tag"))
+    rows = rows.join(asked.select("tag").distinct(), "tag", "left_semi")
+    bitmaps = cut(rows.groupBy("tag", "_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits")))
+    unions = asked.join(bitmaps, "tag").groupBy("_set", "_bucket").agg(F.bitmap_or_agg("_bits").alias("_bits"))
+    return unions.groupBy("_set").agg(F.sum(F.bitmap_count("_bits")).alias("_near"))
+
+
 def similar_counts(notes: DataFrame, config: NoteConfig = DEFAULT, subset_tags: int = SUBSET_TAGS) -> DataFrame:
     """(customer, similar_count): how many other notes below the customers root
     share a tag with each customer.
 
-    Notes are first counted per tag set. The notes that share a tag with a set
-    are the union of the notes of its tags, which inclusion and exclusion over
-    the subsets gives without pairing sets. Sets of more than ``subset_tags``
-    tags, for which the subsets would be too many, are paired through their tags.
+    The notes that share a tag with a set are the union of the notes of its tags. Among sets of up to ``subset_tags``
+    tags inclusion and exclusion over their subsets gives its size; wherever a larger set takes part, bitmaps of the notes
+    of each tag do. Neither pairs notes or sets.
     """
-    below = under(notes, config.customers_root).where(F.size("tags") > 0)
-    sets = cut(below.groupBy(F.array_sort("tags").alias("_set")).agg(F.count(F.lit(1)).alias("_size")))
+    below = under(notes, config.customers_root).where(F.size("tags") > 0).select(F.array_sort("tags").alias("_set"))
+    sets = cut(below.groupBy("_set").agg(F.count(F.lit(1)).alias("_size")))
     small, large = sets.where(F.size("_set") <= subset_tags), sets.where(F.size("_set") > subset_tags)
     parts = small.select("_set", "_size", F.explode(_subsets(F.col("_set"))).alias("_part"))
     holders = parts.groupBy("_part").agg(F.sum("_size").alias("_n"))
     sign = F.when(F.size("_part") % 2 == 1, F.col("_n")).otherwise(-F.col("_n"))
-    among_small = parts.select("_set", "_part").join(holders, "_part").groupBy("_set").agg(F.sum(sign).alias("_near"))
-    tag_rows = lambda df: df.select("_set", "_size", F.explode("_set").alias("tag"))
-    pairs = lambda mine, others: (
-        tag_rows(mine).select("_set", "tag")
-        .join(tag_rows(others).select(F.col("_set").alias("_other"), "_size", "tag"), "tag")
-        .select("_set", "_other", "_size").distinct()
-        .groupBy("_set").agg(F.sum("_size").alias("_near"))
-    )
-    near = among_small.union(pairs(small, large)).union(pairs(large, sets))
+    near = parts.select("_set", "_part").join(holders, "_part").groupBy("_set").agg(F.sum(sign).alias("_near"))
+    if not large.isEmpty():
+        near = near.union(_union_sizes(small, below.where(F.size("_set") > subset_tags))).union(_union_sizes(large, below))
     near = near.groupBy("_set").agg((F.sum("_near") - 1).alias("similar_count"))
     main = customer_notes(notes, config).select("customer", F.array_sort("tags").alias("_set"))
     return main.join(near, "_set", "left").select(

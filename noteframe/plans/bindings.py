@@ -452,6 +452,18 @@ def file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def customers_by_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer notes tagged with a code of every part they ordered: (path, tags), often dozens of tags."""
+    tune(spark)
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_partkey") % 200).cast("string").alias("tag"))
+    bought = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")).join(lines, "o_orderkey")
+    tags = bought.groupBy("c_custkey").agg(F.collect_set("tag").alias("tags"))  # at most 200 codes
+    return table(spark, sf_dir, "customer").select("c_custkey").join(tags, "c_custkey", "left").select(
+        F.concat(F.lit("Customers/C"), F.col("c_custkey").cast("string"), F.lit(".md")).alias("path"),
+        F.coalesce("tags", F.array().cast("array<string>")).alias("tags"),
+    )
+
+
 def event_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as one-line notes with JSON frontmatter."""
     tune(spark)

@@ -29,7 +29,7 @@ from noteframe.plans.oracle import AS_OF as DAY
 from noteframe.plans.oracle import with_prelude
 from noteframe.session import fresh_path
 from noteframe.sources import audit, files, snapshots
-from noteframe.streaming import changes
+from noteframe.streaming import changes, watch
 
 AS_OF = B.AS_OF
 
@@ -642,6 +642,16 @@ def _(spark, sf):
     return E.similar_counts(B.corpus(spark, sf).notes)
 
 
+@query(
+    "similar_customers_many_tags",
+    """SELECT 'C'||c_custkey AS customer, coalesce(b.c, 0) AS similar_count FROM customer LEFT JOIN (
+         WITH tagged AS (SELECT DISTINCT o_custkey AS k, l_partkey % 200 AS tag FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+         SELECT x.k, count(DISTINCT y.k) - 1 AS c FROM tagged x JOIN tagged y USING (tag) GROUP BY 1) b ON b.k = c_custkey""",
+)
+def _(spark, sf):
+    return E.similar_counts(B.customers_by_parts(spark, sf))
+
+
 @query("open_items", "SELECT customer, path, ordinal, text, assignee FROM open_item")
 def _(spark, sf):
     t = B.corpus(spark, sf)
@@ -1579,6 +1589,23 @@ def _(spark, sf):
     return I.incremental_diff(old, kept.union(added))
 
 
+@query(
+    "listing_events",
+    """SELECT path, make_timestamp(2001, 1, 1, 0, 0, 0.0) AS ts, CASE WHEN k % 7 = 0 THEN 'unlink' ELSE 'change' END AS event FROM (
+         SELECT path, length(path) AS k FROM notes) WHERE k % 7 IN (0, 1)
+       UNION ALL SELECT 'New/'||path, make_timestamp(2001, 1, 1, 0, 0, 0.0), 'add' FROM notes WHERE length(path) % 7 = 3""",
+)
+def _(spark, sf):
+    # A second listing of all notes: some gone, some touched, some new.
+    old = B.corpus(spark, sf).notes.select("path", "mtime")
+    key = F.length("path") % 7
+    later = F.when(key == 1, F.expr("INTERVAL 2 MILLISECONDS")).otherwise(F.expr("INTERVAL 0 MILLISECONDS"))
+    kept = old.where(key != 0).select("path", (F.col("mtime") + later).alias("mtime"))
+    added = old.where(key == 3).select(F.concat(F.lit("New/"), "path").alias("path"), "mtime")
+    events = watch.listing_events(old, kept.union(added), "2001-01-01 00:00:00")
+    return events.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query(
     "latest_state",
     """SELECT 'user/'||user_id||'.md' AS path, max(ts) AS ts,
