@@ -146,6 +146,9 @@ def quotes_sql() -> str:
     def normal(text: str) -> str:
         return f"trim(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
+    def escaped(text: str) -> str:
+        return f"regexp_replace({text}, '<(\\\\*)\\|', '<\\\\\\1|', 'g')"
+
     return f"""
     WITH RECURSIVE raw AS (
       SELECT row_number() OVER () AS rid, conv_id, turn, role,
@@ -172,14 +175,16 @@ def quotes_sql() -> str:
     said AS (
       SELECT rid, level, passage AS t FROM passages UNION ALL SELECT rid, level, unnest(string_split(passage, chr(10))) FROM passages
       UNION ALL SELECT rid, 0, body FROM bodies WHERE body IS NOT NULL
-      UNION ALL SELECT rid, 0, unnest(string_split(body, chr(10))) FROM bodies WHERE body IS NOT NULL),
+      UNION ALL SELECT rid, 0, unnest(string_split(body, chr(10))) FROM bodies WHERE body IS NOT NULL
+      UNION ALL SELECT rid, level, unnest(regexp_split_to_array(passage, '[.!?]+[ \t\n]+')) FROM passages
+      UNION ALL SELECT rid, 0, unnest(regexp_split_to_array(body, '[.!?]+[ \t\n]+')) FROM bodies WHERE body IS NOT NULL),
     keyed AS (
       SELECT conv_id, turn, level, {normal('t')} AS key FROM said JOIN raw USING (rid)
       WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
     sources AS (SELECT conv_id, key, min(turn) AS source FROM keyed WHERE level = 0 AND key <> '' GROUP BY conv_id, key),
     links AS (
-      SELECT k.conv_id, k.turn, max(source) AS parent_turn FROM keyed k JOIN sources s USING (conv_id, key)
-      WHERE level = 1 AND source < k.turn GROUP BY k.conv_id, k.turn),
+      SELECT k.conv_id, k.turn, arg_max(source, (-level, source)) AS parent_turn FROM keyed k JOIN sources s USING (conv_id, key)
+      WHERE level > 0 AND source < k.turn GROUP BY k.conv_id, k.turn),
     climb AS (
       SELECT conv_id, turn, parent_turn AS up, 1 AS depth FROM links
       UNION ALL SELECT c.conv_id, c.turn, l.parent_turn, depth + 1 FROM climb c JOIN links l ON c.conv_id = l.conv_id AND c.up = l.turn),
@@ -189,7 +194,7 @@ def quotes_sql() -> str:
     SELECT r.conv_id, r.turn, r.role, coalesce(body, '') AS body, coalesce(n_quotes, 0) AS n_quotes,
       coalesce(max_level, 0)::BIGINT AS max_level, parent_turn, coalesce(thread_turn, r.turn) AS thread_turn,
       coalesce(depth, 0)::BIGINT AS depth,
-      '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(body, '') || chr(10) AS formatted
+      '<|' || {escaped("coalesce(role, 'unknown')")} || '|>' || chr(10) || {escaped("coalesce(body, '')")} || chr(10) AS formatted
     FROM raw r LEFT JOIN bodies USING (rid) LEFT JOIN levels USING (rid)
     LEFT JOIN links l ON l.conv_id = r.conv_id AND l.turn = r.turn
     LEFT JOIN tops t ON t.conv_id = r.conv_id AND t.turn = r.turn"""

@@ -1,7 +1,7 @@
 """Conversations rebuilt from quotations.
 
 Lines that begin with ``>`` are quotes, nested as often as the mark repeats. Runs of one level
-make passages; an unquoted message has passages too, its paragraphs, and its single lines and
+make passages; an unquoted message has passages too, its paragraphs, and its single lines, sentences and
 whole body beside them. Normalised passages are hashed and joined to the earliest earlier
 message of the conversation that says them itself. A message answers the latest message that its
 quotes of the shallowest known level come from. Threads follow from these links by pointer doubling.
@@ -26,6 +26,9 @@ from noteframe.session import cut
 QUOTE = r"^[ \t]*((>[ \t]?)+)"
 # "On Monday X wrote:" above a quote, in the languages of the corpus.
 ATTRIBUTION = r"(?i)^\s*\S.*\b(wrote|writes|schrieb|a écrit|escribió)\s*:\s*$"
+SENTENCE_END = r"[.!?]+[ \t\n]+"
+# A role mark within a text, with the backslashes that earlier escapes put into it.
+ROLE_MARK = r"<(\\*)\|"
 RUN, MARK = "\x01", "\x02"
 
 
@@ -89,8 +92,8 @@ def parsed(messages: DataFrame) -> DataFrame:
 
 
 def _keys(passage: Column) -> Column:
-    """Hashes of a passage and of its lines."""
-    texts = F.concat(F.array(passage), F.split(passage, "\n"))
+    """Hashes of a passage, of its lines and of its sentences."""
+    texts = F.concat(F.array(passage), F.split(passage, "\n"), F.split(passage, SENTENCE_END))
     return F.array_distinct(F.transform(F.filter(F.transform(texts, normal), lambda t: t != ""), lambda t: F.md5(t)))
 
 
@@ -135,11 +138,17 @@ def threads(links: DataFrame) -> DataFrame:
         state = state.drop("moved")
 
 
+def escaped(text: Column) -> Column:
+    """The text without role marks: one backslash more stands within each ``<|``, and taking one out gives the text back."""
+    return F.regexp_replace(text, ROLE_MARK, r"<\\$1|")
+
+
 def linked(messages: DataFrame) -> DataFrame:
     """Every message without its quotes, placed in its conversation.
 
     ``conv_id, turn, role, body, n_quotes, max_level, parent_turn, thread_turn, depth, formatted``; a
-    conversation reads in the order ``thread_turn, depth, turn``. ``formatted`` is the chat form of the message.
+    conversation reads in the order ``thread_turn, depth, turn``. ``formatted`` is the chat form of the message; role
+    marks inside roles and bodies are escaped, so no text can open a turn.
     """
     rows = cut(parsed(messages.select("conv_id", "turn", "role", "text")))
     links = cut(reply_links(rows))
@@ -155,5 +164,7 @@ def linked(messages: DataFrame) -> DataFrame:
         "parent_turn",
         F.coalesce("thread_turn", "turn").alias("thread_turn"),
         F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
-        F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.col("body"), F.lit("\n")).alias("formatted"),
+        F.concat(
+            F.lit("<|"), escaped(F.coalesce("role", F.lit("unknown"))), F.lit("|>\n"), escaped(F.col("body")), F.lit("\n")
+        ).alias("formatted"),
     )
