@@ -1,6 +1,7 @@
 """Snapshots in buckets: a batch of changes rewrites the buckets it touches and leaves the files of all others.
 
-Notes and the tables that follow from one note are dealt to buckets by a hash of the path; links lie with their source. A
+Notes and the tables that follow from one note are dealt to buckets by a hash of the path; links lie with their source, counts
+of notes, tags, folders and linking notes with the bucket they count. A
 version holds only the buckets it wrote, and the pointer names for every table and bucket the version to read, so a
 reader sees a batch whole or not at all and an unfinished batch is never seen. Links are kept current by a rule of
 differences: what is resolved again are the links of changed notes and those links elsewhere whose target is a path
@@ -20,11 +21,12 @@ from pyspark.sql.types import StructType
 from noteframe.config import DEFAULT, NoteConfig
 from noteframe.operators import links as L
 from noteframe.operators import parse as P
+from noteframe.operators import stats as A
 from noteframe.schemas import NOTE_LINKS, NOTES
 from noteframe.session import cut
 from noteframe.sources import snapshots
 
-FORMAT = "buckets-1"
+FORMAT = "buckets-2"
 # Tables that follow from a single note; "names" are its entries of the title dictionary.
 PER_NOTE = {"names": L.note_names, "tags": P.note_tags, "tasks": P.note_tasks, "fields": P.note_fields}
 
@@ -73,16 +75,25 @@ class BucketStore:
         """The notes of the requested paths (path), from the buckets these lie in."""
         return self.table("notes", self.buckets(requests)).join(requests.select("path").distinct(), "path", "left_semi")
 
-    def _written(self, name: str, rows: DataFrame, buckets: set[int], version: str, column: str = "path") -> "BucketStore":
-        """This store with ``rows`` as the new content of ``buckets``; an emptied bucket has no folder any more."""
+    def _written(self, name: str, rows: DataFrame, buckets: set[int], version: str, column: str | None = "path") -> "BucketStore":
+        """This store with ``rows`` as the new content of ``buckets``; an emptied bucket has no folder any more. Without
+        ``column`` the rows name their ``bucket`` themselves."""
         folder = f"{self.root}/data/v={version}/{name}"
-        rows.withColumn("bucket", self.bucket(column)).repartition("bucket").write.partitionBy("bucket").parquet(folder)
+        dealt = rows if column is None else rows.withColumn("bucket", self.bucket(column))
+        rows = rows.drop("bucket")
+        dealt.repartition("bucket").write.partitionBy("bucket").parquet(folder)
         held = {b: v for b, v in self.state["tables"].get(name, {}).items() if int(b) not in buckets}
         held |= {str(b): version for b in _folders(self.spark, folder)}
         tables = self.state["tables"] | {name: held}
         schemas = self.state["schemas"] | {name: json.loads(rows.schema.json())}
         return BucketStore(self.spark, self.root, self.state | {"tables": tables, "schemas": schemas})
 
+    def _counted(self, notes: set[int], links: set[int], version: str) -> "BucketStore":
+        """This store with the counts of rewritten buckets of notes and links."""
+        counts = A.bucket_counts(self.table("notes", notes), self.table("tags", notes), self.bucket)
+        degrees = A.bucket_degrees(self.table("links", links), self.bucket)
+        return self._written("counts", counts, notes, version, None)._written("degrees", degrees, links, version, None)
+
     def _attempt(self) -> str:
         """A folder name of its own for every attempt, so that one that failed is in nobody's way."""
         return f"{self.state['version'] + 1}-{uuid.uuid4().hex[:8]}"
@@ -118,7 +129,7 @@ def create(spark: SparkSession, root: str, notes: DataFrame, count: int = 64) ->
     for name, make in PER_NOTE.items():
         store = store._written(name, make(store.notes), every, version)
     links = L.resolve_links(store.notes, store.titles).select(*[f.name for f in NOTE_LINKS])
-    return store._written("links", links, every, version, "src")._committed()
+    return store._written("links", links, every, version, "src")._counted(every, every, version)._committed()
 
 
 def _entries(names: DataFrame, keys: DataFrame) -> DataFrame:
@@ -178,4 +189,4 @@ def apply_batch(
     held = held.join(new_dst.withColumn("_again", F.lit(True)), "target", "left")
     held = held.select("src", "target", F.when(F.col("_again"), F.col("_dst")).otherwise(F.col("dst")).alias("dst"))
     links = held.unionByName(own.join(resolved, "target", "left").select("src", "target", "dst"))
-    return after._written("links", links, rewritten, version, "src")._committed()
+    return after._written("links", links, rewritten, version, "src")._counted(touched, rewritten, version)._committed()
