@@ -883,7 +883,7 @@ def _(spark, sf):
     return A.folder_counts(B.corpus(spark, sf).notes)
 
 
-# The same from counts held with a bucketed snapshot, after a batch took notes out and another put them back.
+# The same from counts held with a bucketed snapshot, after one batch took notes out and two more put them back.
 _HELD = {
     "corpus_stats": A.held_stats,
     "top_tags": lambda store: A.held_top_tags(store, 20),
@@ -891,7 +891,7 @@ _HELD = {
     "folder_counts": A.held_folder_counts,
 }
 for _name, _held in _HELD.items():
-    CATALOG[f"{_name}_held"] = Query(lambda spark, sf, held=_held: held(B.refreshed_store(spark, sf)), CATALOG[_name].sql)
+    CATALOG[f"{_name}_held"] = Query(lambda spark, sf, held=_held: held(B.restored_store(spark, sf)), CATALOG[_name].sql)
 
 
 @query(
