@@ -17,23 +17,47 @@ from noteframe.session import cut
 
 CHUNK_BITS = 18
 MOST_BITS = 28  # 32 MB at any number of keys
+BUFFER = 1 << 20  # hashes that a task deals to chunks at once
 PROBES = (12, 30, 46)  # where a hash holds its three places in the chunk that its low bits name
 
 
-def bit_table(grams: DataFrame):
-    """Broadcast bits of the hashes ``gram``: about 16 a row, at most ``2 ** MOST_BITS``."""
-    size = 1 << int(np.clip(int(16 * grams.count()).bit_length(), CHUNK_BITS, MOST_BITS))
+def bit_table(grams: DataFrame, most: int | None = None):
+    """Broadcast bits of the hashes ``gram``: about 16 a row, at most ``2 ** MOST_BITS``. ``most`` bounds the rows where they are not to be counted."""
+    rows = grams.count() if most is None else most
+    size = 1 << int(np.clip(int(16 * rows).bit_length(), CHUNK_BITS, MOST_BITS))
     chunks = size >> CHUNK_BITS
 
+    def deal(held: list[np.ndarray]):
+        gram = np.unique(np.concatenate(held))
+        part = gram & (chunks - 1)
+        gram = gram[np.argsort(part, kind="stable")]
+        ends = np.cumsum(np.bincount(part, minlength=chunks))
+        for k in np.flatnonzero(np.diff(ends, prepend=0)):
+            own = gram[ends[k - 1] if k else 0 : ends[k]]
+            yield pa.RecordBatch.from_pydict({"part": pa.array([int(k)]), "grams": pa.array([own.tobytes()], pa.binary())})
+
+    def dealt(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch.column(0).to_numpy())
+            size += len(batch)
+            if size >= BUFFER:
+                yield from deal(held)
+                held, size = [], 0
+        if size:
+            yield from deal(held)
+
     def chunk(table: pa.Table) -> pa.Table:
-        on, gram = np.zeros(1 << CHUNK_BITS, np.uint8), table["gram"].to_numpy()
-        for shift in PROBES:
-            on[(gram >> shift) & ((1 << CHUNK_BITS) - 1)] = 1
+        on = np.zeros(1 << CHUNK_BITS, np.uint8)
+        for held in table["grams"]:
+            gram = np.frombuffer(held.as_buffer(), np.int64)
+            for shift in PROBES:
+                on[(gram >> shift) & ((1 << CHUNK_BITS) - 1)] = 1
         packed_bits = np.packbits(on, bitorder="little").tobytes()
-        return pa.table({"part": pa.array([int(gram[0]) & (chunks - 1)]), "bits": pa.array([packed_bits], pa.binary())})
+        return pa.table({"part": pa.array([table["part"][0].as_py()]), "bits": pa.array([packed_bits], pa.binary())})
 
-    dealt = grams.select("gram", F.col("gram").bitwiseAND(F.lit(chunks - 1)).alias("part"))
-    found = dealt.groupBy("part").applyInArrow(chunk, "part long, bits binary").toArrow()
+    parts = grams.select("gram").mapInArrow(dealt, "part long, grams binary")
+    found = parts.groupBy("part").applyInArrow(chunk, "part long, bits binary").toArrow()
     bits = np.zeros((chunks, 1 << (CHUNK_BITS - 3)), np.uint8)
     for part, held in zip(found["part"].to_pylist(), found["bits"].to_pylist(), strict=True):
         bits[part] = np.frombuffer(held, np.uint8)

@@ -3,9 +3,10 @@
 Expressions are runs of one to three whole words of any script; where a script puts no blanks, its
 characters are the words. The documents of each class that hold an expression are counted in
 tables as large as the corpus asks, and the distinct expressions of every text are joined to
-them. The share of toxic documents is drawn towards that of the whole training set, so that
-a rare expression says little; an expression counts from ``least`` on, and a document has its
-strongest. A bit table drops most rows that cannot join before they are moved; it decides nothing.
+them. An expression's evidence is the difference of its two Kneser-Ney log-likelihoods with the class as
+context: counts are discounted, and what that frees goes to the shared continuation counts (in how many classes an expression is found), so that
+a rare expression says little. It counts from ``least`` on, and a document has its strongest. Distinct expressions of a
+class are counted by a mergeable sketch (within about 1 %). A bit table drops most rows that cannot join before they are moved; it decides nothing.
 
 The character models tell new endings of a known stem. Letters fold to an alphabet of 32 symbols (0 parts words), so that a stem is known under
 any ending and the 4-gram counts of a class are a dense array of 32 ** 4 entries whatever the
@@ -33,13 +34,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteframe.llm.rowset import bit_table, may_hold, maybe_in, without
+from noteframe.llm.rowset import bit_table, may_hold, without
 from noteframe.session import cut
 
 ORDER = 4
 SYMBOLS = 32
 CHUNK_CHARS = 1 << 19
+CHUNK_WORDS = 1 << 17
 WORDS = 3
+PLACES = 13  # 2 ** 13 registers: distinct counts within about 1 %
+PAIRS, SEEN = 0, 1
 _NO_BLANKS = "".join(rf"\p{{Is{s}}}" for s in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
 WORD = rf"[{_NO_BLANKS}]|[\p{{L}}\p{{M}}\p{{N}}&&[^{_NO_BLANKS}]]+"
 GRAMS = SYMBOLS**ORDER
@@ -49,8 +53,7 @@ GRAMS = SYMBOLS**ORDER
 class Toxicity:
     discount: float = 0.75
     fit_rows: int = 20_000  # bound of the labelled rows that the three logistic weights are fitted on
-    shrink: float = 5.0  # documents of the usual toxic share that every expression starts with
-    least: float = 0.7  # log of how far an expression raises the toxic share before it counts
+    least: float = 2.5  # log-likelihood ratio from which an expression counts
     folds: int = 5  # rows whose crc32(doc_id) is 0 modulo this never train
 
 
@@ -224,41 +227,127 @@ def _distinct(words: pa.Array, bits: np.ndarray | None) -> tuple[np.ndarray, np.
     return gram[first], row[first]
 
 
-def _documents_with(texts: DataFrame, bits=None) -> DataFrame:
-    """``gram, n``: rows of ``texts`` that hold each expression."""
+def _word_slices(words: pa.Array):
+    """The rows in runs of at most CHUNK_WORDS words, or one longer text."""
+    sizes = np.diff(words.offsets.to_numpy())
+    start = size = 0
+    for row, n in enumerate(sizes):
+        if size and size + n > CHUNK_WORDS:
+            yield start, row
+            start, size = row, 0
+        size += n
+    if len(sizes):
+        yield start, len(sizes)
+
+
+def _records(columns: dict[str, np.ndarray]):
+    for k in range(0, len(next(iter(columns.values()))), 50_000):
+        yield pa.RecordBatch.from_pydict({name: pa.array(c[k : k + 50_000]) for name, c in columns.items()})
+
+
+def registers(gram: np.ndarray) -> np.ndarray:
+    """Where a hash falls in a distinct-count sketch, and the first bit set there: ``place * 64 + rank``."""
+    mixed = gram.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    place, rest = mixed >> np.uint64(64 - PLACES), (mixed & np.uint64((1 << 48) - 1)) + np.uint64(1)
+    rank = 49 - np.frexp(rest.astype(np.float64))[1]
+    return place.astype(np.int64) * 64 + np.maximum(rank, 1)
 
+
+def distinct_count(found: np.ndarray) -> float:
+    """The distinct hashes behind the ``registers`` found."""
+    ranks = np.zeros(1 << PLACES, np.int64)
+    np.maximum.at(ranks, found // 64, found % 64)
+    m, empty = len(ranks), int((ranks == 0).sum())
+    raw = 0.7213 / (1 + 1.079 / m) * m * m / np.sum(2.0**-ranks)
+    return m * np.log(m / empty) if raw < 2.5 * m and empty else float(raw)
+
+
+def _count_expressions(batches):
+    """Per task and class: held expressions (kind ``PAIRS``), and the sketch of the distinct ones (kind ``SEEN``)."""
+    pairs, seen = np.zeros(2, np.int64), [np.zeros(1 << (PLACES + 6), bool) for _ in range(2)]
+    for batch in batches:
+        words, toxic = batch.column(0), batch.column(1).to_numpy()
+        for a, b in _word_slices(words):
+            gram, row = _distinct(words.slice(a, b - a), None)
+            label = toxic[a:b][row]
+            for c in (0, 1):
+                mine = gram[label == c]
+                pairs[c] += len(mine)
+                seen[c][registers(mine)] = True
+    at = [np.flatnonzero(s) for s in seen]
+    label = np.repeat([0, 1, 0, 1], [1, 1, len(at[0]), len(at[1])])
+    kind = np.repeat([PAIRS, SEEN], [2, len(at[0]) + len(at[1])])
+    gram = np.concatenate([[0, 0], *at])
+    n = np.concatenate([pairs, np.ones(len(gram) - 2, np.int64)])
+    yield from _records({"label": label, "kind": kind, "gram": gram, "n": n})
+
+
+def expression_totals(words: DataFrame) -> tuple[list[int], list[float]]:
+    """For the ordinary and the toxic texts: held expressions (once a text), and how many differ."""
+    found = words.mapInArrow(_count_expressions, "label long, kind long, gram long, n long")
+    found = found.groupBy("label", "kind", "gram").agg(F.sum("n").alias("n")).toPandas()  # at most 2 ** 13 * 50 rows
+    pairs = found[found.kind == PAIRS].groupby("label").n.sum()
+    seen = found[found.kind == SEEN]
+    return [int(pairs.get(c, 0)) for c in (0, 1)], [distinct_count(seen[seen.label == c].gram.to_numpy()) for c in (0, 1)]
+
+
+def _toxic_grams(words: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for k in range(0, len(batch), 1_000):
-                gram, _ = _distinct(batch.column(0).slice(k, 1_000), bits and bits.value)
-                gram, n = np.unique(gram, return_counts=True)
-                for j in range(0, len(gram), 50_000):
-                    part = slice(j, j + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(gram[part]), pa.array(n[part])], ["gram", "n"])
+            for a, b in _word_slices(batch.column(0)):
+                gram, _ = _distinct(batch.column(0).slice(a, b - a), None)
+                yield from _records({"gram": np.unique(gram)})
 
-    counts = texts.select(hashed_words(F.col("text")).alias("w")).mapInArrow(run, "gram long, n long")
-    return counts.groupBy("gram").agg(F.sum("n").alias("n"))
+    return words.where("toxic = 1").select("w").mapInArrow(run, "gram long")
+
+
+def _texts_with(words: DataFrame, bits) -> DataFrame:
+    """``gram, t, o``: toxic and ordinary texts that hold each expression that may be in the bit table."""
+
+    def run(batches):
+        for batch in batches:
+            toxic = batch.column(1).to_numpy()
+            for a, b in _word_slices(batch.column(0)):
+                gram, row = _distinct(batch.column(0).slice(a, b - a), bits.value)
+                gram, at = np.unique(gram, return_inverse=True)
+                t = np.bincount(at, toxic[a:b][row], minlength=len(gram)).astype(np.int32)
+                yield from _records({"gram": gram, "t": t, "o": np.bincount(at, minlength=len(gram)).astype(np.int32) - t})
+
+    counts = words.select("w", "toxic").mapInArrow(run, "gram long, t int, o int")
+    return counts.groupBy("gram").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
 
 
 VARIANTS = ["plain", "in_toxic", "in_ordinary"]
 
 
+def raised(t: Column, o: Column, pairs: list[int], seen: list[float], plan: Toxicity) -> Column:
+    """Toxic minus ordinary Kneser-Ney log-probability of an expression after its class, from ``least`` on.
+
+    The class is the context: its counts are discounted, and what that frees goes to the shared continuation
+    probability, the classes that an expression is found in over all such pairs. Found in no toxic text it is 0.
+    """
+    kinds = (t > 0).cast("double") + (o > 0).cast("double")
+    shared = kinds / F.lit(max(sum(seen), 1.0))
+
+    def likelihood(n: Column, c: int) -> Column:
+        freed = plan.discount * seen[c]
+        return (F.greatest(n - F.lit(plan.discount), F.lit(0.0)) + F.lit(freed) * shared) / F.lit(float(max(pairs[c], 1)))
+
+    value = F.log(likelihood(t, 1)) - F.log(likelihood(o, 0))
+    return F.when(t > 0, F.greatest(value - F.lit(plan.least), F.lit(0.0))).otherwise(0.0)
+
+
 def word_evidence(train: DataFrame, plan: Toxicity = PLAN) -> tuple[DataFrame, list[Column]]:
     """``gram, t, o``: toxic and ordinary training texts with each expression that speaks for toxicity, and its
     evidence for any text, and for a toxic and an ordinary training text without its own count.
     Expressions of no toxic text speak for none and are left out."""
-    n = train.agg(F.sum("toxic"), F.count(F.lit(1))).first()
-    usual = (n[0] or 0) / max(n[1], 1)
-    seen = cut(_documents_with(train.where("toxic = 1")).withColumnRenamed("n", "t"))
-    ordinary = _documents_with(train.where("toxic = 0"), bit_table(seen)).withColumnRenamed("n", "o")
-    both = seen.join(ordinary, "gram", "left").select("gram", "t", F.coalesce("o", F.lit(0)).alias("o"))
-
-    def raised(t: Column, o: Column) -> Column:
-        share = (t + plan.shrink * usual) / (t + o + plan.shrink)
-        return F.greatest(F.log(share / max(usual, 1e-12)) - plan.least, F.lit(0.0))
-
+    words = train.select(hashed_words(F.col("text")).alias("w"), "toxic")
+    pairs, seen = expression_totals(words)
+    both = _texts_with(words, bit_table(_toxic_grams(words), pairs[1])).where("t > 0")
     t, o = F.col("t"), F.col("o")
-    values = [raised(t, o), raised(t - 1, o), raised(t, F.greatest(o - 1, F.lit(0)))]
+    left = [(t, o), (t - 1, o), (t, F.greatest(o - 1, F.lit(0)))]
+    values = [raised(a, b, pairs, seen, plan) for a, b in left] if min(pairs) else [F.lit(0.0)] * 3
     return cut(both.where(F.greatest(*values) > 0)), [v.alias(name) for v, name in zip(values, VARIANTS, strict=True)]
 
 
@@ -273,12 +362,10 @@ def strongest(docs: DataFrame, known: DataFrame, values: list[Column]) -> DataFr
 
     def run(batches):
         for batch in batches:
-            for k in range(0, len(batch), 1_000):
-                part = batch.slice(k, 1_000)
-                gram, row = _distinct(part.column(2), bits.value)
-                for j in range(0, len(gram), 50_000):
-                    taken = part.select(["key", "chars"]).take(pa.array(row[j : j + 50_000]))
-                    yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(gram[j : j + 50_000])], ["key", "chars", "gram"])
+            key, chars = (batch.column(k).to_numpy() for k in (0, 1))
+            for a, b in _word_slices(batch.column(2)):
+                gram, row = _distinct(batch.column(2).slice(a, b - a), bits.value)
+                yield from _records({"key": key[a:b][row], "chars": chars[a:b][row], "gram": gram})
 
     held = docs.select(*_key(F.col("text")), hashed_words(F.col("text")).alias("w"))
     held = held.mapInArrow(run, "key long, chars int, gram long")
@@ -286,20 +373,24 @@ def strongest(docs: DataFrame, known: DataFrame, values: list[Column]) -> DataFr
     return held.groupBy("key", "chars").agg(*[F.max(v).alias(v) for v in VARIANTS])
 
 
+def _of_class(docs: DataFrame, marked: DataFrame, toxic: int, plan: Toxicity) -> DataFrame:
+    """``text, toxic``: the training texts of one class, picked where they stand; only ids are moved to the labels."""
+    named = docs.where(F.col("doc_id").isNotNull() & ~held_out(plan)).select("doc_id", "text")
+    others = named.select("doc_id").distinct().join(marked.where(F.col("toxic") == toxic), "doc_id", "left_anti")
+    kept = without(named, {"doc_id": F.col("row.doc_id")}, cut(others))
+    return kept.select("text", F.lit(toxic).alias("toxic"))
+
+
 def scored(docs: DataFrame, labels: DataFrame, plan: Toxicity = PLAN) -> tuple[DataFrame, Column]:
     """Narrow rows of all documents (``doc_id, held_out, key, chars`` and features), and the score over them.
 
-    Training texts are moved once, to their labels; all other texts stay where they are.
+    Texts stay where they are, but for the few whose id shares its bits with others by chance; the training texts are written once.
     """
     spark = docs.sparkSession
     marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL")
     marked = marked.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     marked = cut(marked)
-    # Texts without a label stay where they are. Merge join at every size: labels grow with the corpus and
-    # have no bound for a broadcast.
-    train = docs.where(~held_out(plan) & maybe_in([F.col("doc_id")], marked.select("doc_id")))
-    train = train.select("doc_id", "text").join(marked.hint("merge"), "doc_id")
-    train = cut(train.select("text", "toxic"))
+    train = cut(_of_class(docs, marked, 0, plan).unionByName(_of_class(docs, marked, 1, plan)))
     seen = train.mapInArrow(_count, "label long, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
     found = cut(seen).toArrow()  # at most 2 * 32 ** 4 rows
     counts = np.zeros((2, GRAMS), np.int64)

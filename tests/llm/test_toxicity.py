@@ -115,3 +115,47 @@ def test_expressions_of_several_words_and_other_scripts_are_learned(spark):
     got = {r.doc_id: r for r in tox.toxicity_scores(docs, marks).collect() if r.held_out}
     assert len(got) > 100 and {k // 6 % 3 for k in got if k % 6 == 0} == {0, 1, 2}
     assert sum(r.predicted != int(k % 6 == 0) for k, r in got.items()) <= 0.02 * len(got)
+
+
+def test_expression_evidence_equals_a_plain_model(spark):
+    rows, labels = corpus(240, seed=8)
+    toxic = {k: t for k, _, t in labels}
+    train = spark.createDataFrame([(t, toxic[k]) for k, t, _, _ in rows if k in toxic], "text string, toxic int")
+    plan = tox.Toxicity(least=1.0)
+    known, values = tox.word_evidence(train, plan)
+    got = {tuple(r)[:2]: tuple(r)[2:] for r in known.select("t", "o", *values).distinct().collect()}
+
+    held = {0: {}, 1: {}}
+    for k, text, _, _ in rows:
+        if k in toxic:
+            words = text.split(" ")
+            for e in {tuple(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}:
+                held[toxic[k]][e] = held[toxic[k]].get(e, 0) + 1
+    pairs = [sum(held[c].values()) for c in (0, 1)]
+
+    def log_p(n, kinds, c):
+        shared = kinds / (len(held[0]) + len(held[1]))
+        return np.log((max(n - plan.discount, 0) + plan.discount * len(held[c]) * shared) / pairs[c])
+
+    def evidence(t, o):
+        kinds = (t > 0) + (o > 0)
+        return max(log_p(t, kinds, 1) - log_p(o, kinds, 0) - plan.least, 0) if t > 0 else 0.0
+
+    wanted = {}
+    for e, t in held[1].items():
+        o = held[0].get(e, 0)
+        value = (evidence(t, o), evidence(t - 1, o), evidence(t, max(o - 1, 0)))
+        if max(value) > 0:
+            wanted[t, o] = value
+    # Distinct expressions are estimated within about 1 %, so a pair of counts right at the threshold may differ.
+    assert {p for p, v in wanted.items() if max(v) > 0.1} <= set(got) and len(wanted) > 5
+    for p, v in got.items():
+        assert np.allclose(v, wanted.get(p, (0, 0, 0)), atol=0.06), p
+
+
+def test_sketch_counts_distinct_hashes():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 500, 20_000, 400_000):
+        gram = rng.integers(-(2**63), 2**63, n, dtype=np.int64)
+        found = np.unique(tox.registers(np.concatenate([gram, gram[: n // 2]])))
+        assert abs(tox.distinct_count(found) - n) <= 0.04 * n
