@@ -64,6 +64,22 @@ def test_similar_counts_match_brute_force(spark, subset_tags):
     assert {r.customer: r.similar_count for r in E.similar_counts(notes, subset_tags=subset_tags).collect()} == want
 
 
+@pytest.mark.parametrize("subset_tags", [10, 2])
+def test_similar_counts_of_many_tags_move_no_bitmap_per_tag(spark, monkeypatch, subset_tags):
+    sets = [sorted({f"t{(i * j) % 41}" for j in range(1, 3 + i % 14)}) for i in range(120)]
+    rows = [(f"Customers/C{i}.md", f"C{i}", tags, "") for i, tags in enumerate(sets)]
+    notes = spark.createDataFrame(rows, "path string, title string, tags array<string>, body string").repartition(5)
+    want = {f"C{i}": sum(j != i and bool(set(tags) & set(o)) for j, o in enumerate(sets)) for i, tags in enumerate(sets)}
+    for group, share in ((E.BITMAP_GROUP, E.SET_SHARE), (1, 7)):
+        monkeypatch.setattr(E, "BITMAP_GROUP", group)
+        monkeypatch.setattr(E, "SET_SHARE", share)
+        counts = E.similar_counts(notes, subset_tags=subset_tags)
+        assert {r.customer: r.similar_count for r in counts.collect()} == want
+        plan = counts._jdf.queryExecution().executedPlan().toString()
+        # Neither a bitmap for each tag of each set is sorted, nor a table keyed by whole tag lists sent to every task.
+        assert "bitmap_or_agg" not in plan and "BroadcastHashJoin [_set" not in plan
+
+
 def test_meetings(spark, garden):
     both = names(spark, "Fern Ltd", "Moor")
     got = {(r.customer, r.path) for r in P.recent_meetings(garden.notes, both, AS_OF).collect()}
