@@ -200,3 +200,15 @@ def test_correlation(spark, garden):
 def test_unknown_view(spark, garden):
     with pytest.raises(KeyError):
         C.customer_context(garden, names(spark, "Fern Ltd"), AS_OF, view="odd")
+
+
+def test_meetings_meet_a_pattern_of_many_dates_once(spark, garden):
+    days = [(f"d{i}", "fern", "meeting", f"2024-05-{i + 1:02d}") for i in range(28)] + [("any", "FERN", "meeting", None), ("m", "moor", "meeting", "2019-01-01")]
+    entities = spark.createDataFrame(days, "entity_id string, name string, type string, date string")
+    matches = R.correlate_meeting(garden.notes, entities)
+    got = {(r.entity_id, r.value) for r in matches.where("kind = 'note'").collect()}
+    fern = "Meetings/2024-05-20-fern.md"
+    assert got == {("d19", fern), ("any", fern), ("m", "Meetings/2019-01-01-moor.md"), ("m", "Meetings/undated.md")}
+    # Entities come in by pattern and date together, never as a row for every text and date.
+    plan = matches._jdf.queryExecution().optimizedPlan().toString()
+    assert "(_date#" in plan and "Join Inner, ((pattern#" in plan
