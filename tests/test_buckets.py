@@ -144,3 +144,21 @@ def test_from_nothing_and_to_nothing(spark, tmp_path, count):
     same_as_rebuild(spark, store, {"x.md": "# X\n[[y]]\n", "y.md": "# Y\n[[X]]\n"})
     store = buckets.apply_batch(store, raw(spark, {}), spark.createDataFrame([("x.md",), ("y.md",)], "path string"))
     assert store.notes.collect() == [] and store.links.collect() == [] and store.titles.collect() == []
+
+
+def test_a_batch_shuffles_its_own_rows_only(spark, tmp_path, monkeypatch):
+    notes = {f"n{k}.md": f"# n{k}\n[[n0]] #t\n" for k in range(80)}
+    store = buckets.create(spark, str(tmp_path / "s"), parse_notes(raw(spark, notes)), count=2)
+    shuffled, kind = [], type(store.notes)
+    repartition = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, *a: (shuffled.append(self.count()), repartition(self, *a))[1])
+    changed = {"n1.md": "# n1\n[[n3]]\n", "new.md": "# new\n"}
+    store = buckets.apply_batch(store, raw(spark, changed, 1))
+    assert shuffled and max(shuffled) < 20
+    monkeypatch.undo()
+    same_as_rebuild(spark, store, notes | changed)
+    # Files that have become many are gathered again.
+    monkeypatch.setattr(buckets, "MANY_FILES", 0)
+    store = buckets.apply_batch(store, raw(spark, changed, 2))
+    assert len(store.notes.inputFiles()) <= 4  # one of the held rows and one of the batch for each bucket
+    same_as_rebuild(spark, store, notes | changed)
