@@ -112,3 +112,14 @@ def test_traverse_directions(spark, garden):
 def test_title_dictionary_takes_the_last_path(spark):
     notes = spark.createDataFrame([("a/x.md", "Same"), ("b/y.md", "same")], "path string, title string")
     assert {r.key: r.path for r in L.title_dict(notes).collect()} == {"same": "b/y.md", "x": "a/x.md", "y": "b/y.md"}
+
+
+def test_last_hop_is_not_written(spark, monkeypatch):
+    """Only the edges and the hops that conduct are written; the last hop goes straight to its titles."""
+    links = spark.createDataFrame([("a", "h"), ("b", "h"), ("h", "c")], "src string, dst string")
+    notes = spark.createDataFrame([(n, n.upper(), ["t"]) for n in "abch"], "path string, title string, tags array<string>")
+    written = []
+    monkeypatch.setattr(L, "cut", lambda df: written.append(df.columns) or df)
+    found = L.related_notes(links, notes, paths(spark, "a"), 2)
+    assert {(r.path, r.hop, r.title) for r in found.collect()} == {("h", 1, "H"), ("b", 2, "B"), ("c", 2, "C")}
+    assert written == [["src", "dst"], ["seed", "node", "hop"]]
