@@ -132,3 +132,9 @@ def test_fields_are_searchable_text(garden):
 def test_customer_of(spark):
     df = spark.createDataFrame([("Customers/A b/A b.md",), ("Customers/C.md",), ("Customers/D/x/y.md",)], "p string")
     assert [r[0] for r in df.select(md.customer_of(F.col("p"), "Customers/")).collect()] == ["A b", "C", "D"]
+
+
+def test_frontmatter_is_parsed_once(garden_raw):
+    """The filter on broken blocks does not call Python a second time."""
+    notes = P.parse_notes(garden_raw.select("path", "raw", "mtime", "length").unionByName(garden_raw))
+    assert notes._jdf.queryExecution().executedPlan().toString().count("+- ArrowEvalPython") == 1
