@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20  # text handled at once; a longer text is a chunk of its own
+CHUNK_BYTES = 1 << 19  # text handled at once; a longer text is a chunk of its own
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3  # odd, so it has an inverse modulo 2**64

@@ -44,6 +44,8 @@ class NearDup:
     rows: int = 5
 
 
+BLOCK = 1 << 16  # elements whose permutations are held at once
+
 CONTRACT = NearDup()
 PIPELINE = NearDup(words=5)
 
@@ -53,8 +55,20 @@ def superminhash(values: np.ndarray, owner: np.ndarray, texts: int, slots: int)
 
     Rank ``j`` of an element lies in ``[j, j + 1)`` and goes to slot ``j`` of its own
     Fisher-Yates permutation. After rank ``j`` a text is done when all its slots are below ``j + 1``.
+    Minima do not depend on the order of the elements, so these go through in blocks of ``BLOCK``: the permutations
+    of a block are ``BLOCK * slots`` numbers, however many texts come at once.
     """
-    low = np.full(texts * slots, np.inf)
+    low = np.full((texts, slots), np.inf)
+    for start in range(0, len(values), BLOCK):
+        part = owner[start : start + BLOCK]
+        first = part.min()
+        _lower(low[first : part.max() + 1].reshape(-1), values[start : start + BLOCK], part - first, slots)
+    return low
+
+
+def _lower(low: np.ndarray, values: np.ndarray, owner: np.ndarray, slots: int) -> None:
+    """Take the ranks of one block of elements into the slots ``low`` of its texts."""
+    texts = len(low) // slots
     step = np.uint64(0x9E3779B97F4A7C15)
     order = np.empty((0, slots), np.uint8 if slots <= 256 else np.uint16)
     for j in range(slots):
@@ -81,7 +95,6 @@ def superminhash(values: np.ndarray, owner: np.ndarray, texts: int, slots: int)
         else:
             order = order[stay]
         values, owner = values[stay], owner[stay]
-    return low.reshape(texts, slots)
 
 
 def _signed(texts: pa.Array, plan: NearDup):

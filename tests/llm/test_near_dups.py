@@ -1,6 +1,7 @@
 """Near duplicates against all pairs, and SuperMinHash against true similarity."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -133,3 +134,17 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert {got[k] for k in range(10, 61)} == {3} and {got[k] for k in range(100, 160)} == {100}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_permutations_are_held_by_blocks(monkeypatch):
+    rnd = np.random.default_rng(4)
+    values = rnd.integers(0, 1 << 63, 300_000).astype(np.uint64)
+    owner = np.repeat(np.arange(1_000), 300)
+    tracemalloc.start()
+    low = near_dups.superminhash(values, owner, 1_000, 130)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # all permutations at once take 39 MB, and twice that while they are thinned out
+    monkeypatch.setattr(near_dups, "BLOCK", 777)
+    some = owner < 20
+    assert np.array_equal(near_dups.superminhash(values[some], owner[some], 20, 130), low[:20])
