@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from noteframe.llm import arrowtext as at
 from noteframe.llm.groups import components
 from noteframe.llm.native import packed
-from noteframe.llm.rowset import within, without
+from noteframe.llm.rowset import maybe_in, within, without
 from noteframe.session import cut
 
 
@@ -177,7 +177,9 @@ def _leftover(members: DataFrame, found: DataFrame, sets: DataFrame, plan: NearD
     grouped = members.where("n_members > 2").join(found.withColumnRenamed("node", "id"), "id", "left")
     grouped = grouped.select("key", "id", group)
     mixed = grouped.groupBy("key").agg(F.min("group").alias("ref"), F.max("group").alias("last")).where("ref <> last")
-    against = grouped.join(mixed.select("key", "ref"), "key").select("id", "group", "ref").distinct()
+    against = cut(grouped.join(mixed.select("key", "ref"), "key").select("id", "group", "ref").distinct())
+    taking_part = against.select("id").unionByName(against.select(F.col("ref").alias("id"))).distinct()
+    sets = sets.where(maybe_in([F.col("id")], taking_part))  # the others are not moved
     both = against.join(sets, "id").join(sets.select(F.col("id").alias("ref"), F.col("set").alias("p")), "ref")
     both = both.withColumn("c", F.size(F.array_intersect("set", "p")))
     n, m, c = F.size("set"), F.size("p"), F.col("c")
@@ -240,9 +242,11 @@ def near_duplicates(docs: DataFrame, plan: NearDup = CONTRACT) -> DataFrame:
     spread = classes.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     buckets = spread.groupBy("key").agg(F.min(F.struct("id", "n")).alias("pivot"), F.count(F.lit(1)).alias("n_members"))
     members = cut(spread.join(buckets.where("n_members > 1"), "key"))
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
+    wanted = cut(members.select(F.col("id").alias("doc_id")).distinct())
+    # Most texts share no bucket; these are told where they stand, and only the others are moved to their ids.
     sets = cut(
         docs.select(F.col("doc_id").cast("long"), "text")
+        .where(maybe_in([F.col("doc_id")], wanted))
         .join(wanted, "doc_id", "left_semi")
         .dropDuplicates(["doc_id", "text"])
         .mapInArrow(_sets(plan), "id long, set array<long>")

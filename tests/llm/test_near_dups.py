@@ -148,3 +148,27 @@ def test_permutations_are_held_by_blocks(monkeypatch):
     monkeypatch.setattr(near_dups, "BLOCK", 777)
     some = owner < 20
     assert np.array_equal(near_dups.superminhash(values[some], owner[some], 20, 130), low[:20])
+
+
+def test_texts_without_a_shared_bucket_are_not_moved(spark, monkeypatch):
+    """Without broadcasts too, a text is tested by its id before it is shuffled."""
+    plans = {}
+
+    def noted(df):
+        plans[tuple(df.columns)] = df._jdf.queryExecution().executedPlan().toString()
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(near_dups, "cut", noted)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(k, " ".join(f"w{k // 2 if k < 4 else k}x{j}" for j in range(30)), None, None) for k in range(40)]
+        docs = spark.createDataFrame(rows, SCHEMA)
+        got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {k: k - k % 2 if k < 4 else k for k in range(40)}
+    plan = plans["id", "set"].splitlines()
+    scan = next(i for i, line in enumerate(plan) if "Scan ExistingRDD" in line and "text" in line)
+    moved = max(i for i, line in enumerate(plan[:scan]) if "Exchange" in line)
+    assert any("ArrowEvalPython" in line for line in plan[moved:scan])
