@@ -162,3 +162,22 @@ def test_a_batch_shuffles_its_own_rows_only(spark, tmp_path, monkeypatch):
     store = buckets.apply_batch(store, raw(spark, changed, 2))
     assert len(store.notes.inputFiles()) <= 4  # one of the held rows and one of the batch for each bucket
     same_as_rebuild(spark, store, notes | changed)
+
+
+def test_a_small_batch_writes_its_own_notes_only(spark, tmp_path, monkeypatch):
+    notes = {f"n{k}.md": f"# n{k}\n[[n{k + 1}]] #t{k % 3}\n- [ ] do\n" for k in range(40)}
+    store = buckets.create(spark, str(tmp_path / "s"), parse_notes(raw(spark, notes)), count=2)
+    gone = lambda *paths: spark.createDataFrame([(p,) for p in paths], "path string")
+    held = {f for name in buckets.LAYERED for f in store.table(name).inputFiles()}
+    for turn, (changed, removed) in enumerate([({"n1.md": "# n1\n[[n3]] #u\n", "new.md": "# N2\n"}, ["n2.md", "n4.md"]), ({"n2.md": "# back\n"}, ["new.md"])]):
+        store = buckets.apply_batch(store, raw(spark, changed, turn + 1), gone(*removed))
+        notes = {p: t for p, t in notes.items() if p not in removed} | changed
+        written = spark.read.parquet(*[f"{tmp_path}/s/data/v={v}/notes" for v in {v for layers in store.state["layers"].values() for v in layers[-1:] if v.startswith(f"{turn + 2}-")}])
+        assert {r.path for r in written.select("path").collect()} == set(changed)
+        assert held <= {f for name in buckets.LAYERED for f in store.table(name).inputFiles()}
+    same_as_rebuild(spark, store, notes)
+    monkeypatch.setattr(buckets, "MANY_FILES", 1)  # two layers are many
+    store = buckets.apply_batch(store, raw(spark, {"n5.md": "# five\n"}, 3), gone(*[f"n{k}.md" for k in range(6, 9)]))
+    notes = {p: t for p, t in notes.items() if p not in ("n6.md", "n7.md", "n8.md")} | {"n5.md": "# five\n"}
+    assert not any(store.state["layers"].values())
+    same_as_rebuild(spark, store, notes)
