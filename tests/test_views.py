@@ -212,3 +212,25 @@ def test_meetings_meet_a_pattern_of_many_dates_once(spark, garden):
     # Entities come in by pattern and date together, never as a row for every text and date.
     plan = matches._jdf.queryExecution().optimizedPlan().toString()
     assert "(_date#" in plan and "Join Inner, ((pattern#" in plan
+
+
+def test_undated_meetings_of_many_dates_are_dealt_and_found_once(spark, monkeypatch):
+    rows = [(f"Meetings/m{k}.md", f"Plan {k}", f"Plan {k % 4}" if k % 3 else None, f"2024-01-{k % 28 + 1:02d}" if k % 2 else None) for k in range(60)]
+    notes = spark.createDataFrame(rows, "path string, title string, customer string, date string").selectExpr(
+        "path", "title", "parse_json(to_json(struct(customer, date))) AS frontmatter"
+    )
+    asked = [(f"e{d % 30}", "PLAN", "meeting", f"2024-01-{d:02d}") for d in range(1, 29)] + [("e1", "plan", "meeting", None), ("e2", "plan 1", "meeting", None), ("e3", " ", "meeting", None)]
+    entities = spark.createDataFrame(asked, "entity_id string, name string, type string, date string")
+    want = {
+        (e, kind, value)
+        for e, name, _, on in asked if name.strip()
+        for path, title, customer, date in rows
+        if (date is None or on is None or date == on) and any(name.lower() in (t or "").lower() for t in (title, customer))
+        for kind, value in (("note", path), ("customer", customer)) if value
+    }
+    monkeypatch.setattr(R, "HIT_ROWS", 100)
+    found = R.correlate_meeting(notes, entities)
+    got = [(r.entity_id, r.kind, r.value) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    sizes = found.where("kind = 'note'").select(F.spark_partition_id().alias("p")).groupBy("p").count().agg(F.max("count")).first()[0]
+    assert sizes < len([g for g in got if g[1] == "note"]) / 4
