@@ -8,7 +8,7 @@ from noteframe import NoteTables
 from noteframe.operators import incremental as I
 from noteframe.operators.links import resolve_links
 from noteframe.session import shared_dir
-from noteframe.sources import audit, files, snapshots
+from noteframe.sources import audit, buckets, files, snapshots
 from noteframe.streaming import changes
 
 
@@ -179,3 +179,20 @@ def test_debounce_batch_and_stream_agree(spark):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_stored_notes_hold_their_body_once(spark, garden_raw, tmp_path):
+    notes = NoteTables.from_raw(garden_raw).notes
+    odd = notes.limit(3).withColumns({"path": F.concat(F.lit("odd/"), "path"), "raw": F.concat("raw", F.lit("é tail"))})
+    bare = notes.limit(2).withColumns({"path": F.concat(F.lit("bare/"), "path"), "raw": F.lit(None).cast("string")})
+    void = notes.limit(1).withColumns({"path": F.concat(F.lit("void/"), "path"), "body": F.lit(None).cast("string")})
+    notes = notes.union(odd).union(bare).union(void)
+    want = sorted(map(str, notes.select("path", "raw", "body").collect()))
+    snapshots.save_snapshot(spark, str(tmp_path / "s"), notes, resolve_links)
+    found = snapshots.load_snapshot(spark, str(tmp_path / "s"))[0]
+    assert sorted(map(str, found.select("path", "raw", "body").collect())) == want
+    store = buckets.create(spark, str(tmp_path / "b"), notes, count=2)
+    assert sorted(map(str, store.notes.select("path", "raw", "body").collect())) == want
+    for place in (f"{tmp_path}/s/data/v=1/notes", f"{tmp_path}/b/data/*/notes"):
+        stored = spark.read.parquet(place)
+        assert {r.path.split("/")[0] for r in stored.where("raw IS NOT NULL").select("path").collect()} == {"odd", "void"}
